@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import in_slices
 from .lexicon import Lexicon, compile_lexicon
 
-LEXICON_WORDS, MEMO, COUNTER = 200_000, 300_000, 300_000
+LEXICON_WORDS, MEMO, COUNTER = 200_000, 400_000, 300_000
 END = "</w>"
 # Unicode's White_Space, and the pre-tokenizer's pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

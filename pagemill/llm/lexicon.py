@@ -3,6 +3,7 @@
 States that have the same futures are shared, so common endings are stored
 once. Each arc carries how many words precede it among its state's words;
 their sum along a path is the word's number, and that finds the word's ids.
+Words are numbered in the order of the arcs, the arc with most words first.
 """
 
 from __future__ import annotations
@@ -46,18 +47,28 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     first, label, target, before = [0], [], [], []
     for final, arcs in states:
         ahead = int(final)
-        for byte, to in arcs:
+        for byte, to in sorted(arcs, key=lambda a: -counts[a[1]]):  # the likeliest first
             label.append(byte)
             target.append(to)
             before.append(ahead)
             ahead += counts[to]
         first.append(len(label))
-    ids = [entries[w] for w in words]
+    ids = [entries[w] for w in _in_arc_order(states, root, first, label, target)]
     at = np.cumsum([0, *map(len, ids)], dtype=np.uint32)
     parts = [np.array(first, np.uint32), np.array([s[0] for s in states], np.uint32), np.array(label, np.uint32), np.array(target, np.uint32), np.array(before, np.uint32), at, np.array([i for x in ids for i in x], np.uint32)]
     return b"".join([np.array([MAGIC, root, *map(len, parts)], np.uint32).tobytes(), *(p.tobytes() for p in parts)])
 
 
+def _in_arc_order(states, root, first, label, target):
+    """The words in the order of their numbers: depth first, a state's own end before its arcs."""
+    stack = [(root, b"")]
+    while stack:
+        state, word = stack.pop()
+        if states[state][0]:
+            yield word
+        stack += [(target[i], word + bytes([label[i]])) for i in range(first[state + 1] - 1, first[state] - 1, -1)]
+
+
 class Lexicon:
     """Lookups in a compiled file that is mapped into memory, so that all workers of a machine share its pages."""
 

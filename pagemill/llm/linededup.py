@@ -105,6 +105,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
     of_doc = drops.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_list("key").alias("dropped_keys"))
     joined = docs.join(of_doc.hint("shuffle_hash"), docs["doc_id"] == of_doc["_drop_id"], "left").drop("_drop_id")
     at = joined.columns.index("text"), joined.columns.index("dropped_keys")
+    names = [*docs.columns, "kept_text", "n_lines", "n_dropped"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept_text string", "n_lines long", "n_dropped long"])
 
     def run(batches):
@@ -119,7 +120,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
                 dropped.append(lines[-1] - len(parts))
                 kept.append(b"\n".join(parts))
             arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*docs.columns, "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return joined.mapInArrow(run, schema)
 
