@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, html_extract, langid, linededup, simhash
+from . import ann, bpe, fingerprints, html_extract, langid, licenses, linededup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,29 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by extendible hashing to 1 MiB of text."""
+    return sharding.shard(documents(spark, sf_dir))
+
+
+SQL["op2_sharding"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS bits FROM documents
+), b(depth, cell, shard_bytes, low, high) AS (
+  SELECT 0, 0::BIGINT, sum(n_bytes)::BIGINT, min(bits), max(bits) FROM d HAVING count(*) > 0
+  UNION ALL
+  SELECT * FROM (
+    SELECT b.depth + 1 AS depth, (d.bits >> (59 - b.depth)) AS cell, sum(d.n_bytes)::BIGINT AS shard_bytes, min(d.bits) AS low, max(d.bits) AS high
+    FROM b JOIN d ON (d.bits >> (60 - b.depth)) = b.cell WHERE b.shard_bytes > 1048576 AND b.low < b.high GROUP BY 1, 2) x
+)
+SELECT d.doc_id, d.n_bytes,
+       CASE WHEN b.depth = 0 THEN '' ELSE lpad(ltrim(bin(b.cell), '0'), b.depth, '0') END AS shard,
+       b.depth::INTEGER AS depth, 0::INTEGER AS part, b.shard_bytes
+FROM d JOIN b ON (d.bits >> (60 - b.depth)) = b.cell WHERE b.shard_bytes <= 1048576 OR b.low = b.high
+"""
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
@@ -83,6 +106,47 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix by target weights takes of every document."""
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op6_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER) AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place,
+         ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), o AS (
+  SELECT level AS open FROM l WHERE cap >= level * weight ORDER BY place LIMIT 1
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT open FROM o) * weight), cap) AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM e
+"""
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
