@@ -54,6 +54,17 @@ def in_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> I
         begin = end
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none of them is a column's."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -106,7 +106,7 @@ def match_templates(hits: DataFrame, n_docs: int, templates=None, rarest: int =
     """(doc_id, text_key, label, support): verified templates; hits is (doc_id, text_key, word, place), each once."""
     spark = hits.sparkSession
     index = postings(spark, templates)
-    idf = hits.groupBy("word").agg(F.log(1 + F.lit(float(n_docs)) / F.count_distinct("doc_id", "text_key")).alias("weight"))
+    idf = hits.groupBy("word").agg(F.log(1 + F.lit(float(n_docs)) / F.count_distinct(F.struct("doc_id", "text_key"))).alias("weight"))
     of_file = ["doc_id", "text_key"]
     rare = hits.join(F.broadcast(index.filter("rare").select("word").distinct()), "word").join(F.broadcast(idf), "word")  # at most the templates' words
     best = rare.withColumn("nth", F.dense_rank().over(W.partitionBy(*of_file).orderBy(F.desc("weight"), "word"))).filter(F.col("nth") <= rarest)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, partitions
+from .common import checkpoint_dir, cut, fresh, in_slices, partitions
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, SALTS = 10, 4
@@ -99,28 +99,29 @@ def probe(refs: DataFrame, shards: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the columns kept_text, n_lines, n_dropped, by (doc_id, key) in drops. All columns of docs stay."""
-    taken = {"kept_text", "n_lines", "n_dropped", "dropped_keys"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns of docs clash with the result's: {sorted(taken)}")
-    of_doc = drops.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_list("key").alias("dropped_keys"))
-    joined = docs.join(of_doc.hint("shuffle_hash"), docs["doc_id"] == of_doc["_drop_id"], "left").drop("_drop_id")
-    at = joined.columns.index("text"), joined.columns.index("dropped_keys")
+    if clash := {"kept_text", "n_lines", "n_dropped"} & set(docs.columns):
+        raise ValueError(f"columns of docs clash with the result's: {sorted(clash)}")
+    drop_id, gone_keys = fresh(docs.columns, "_drop_id", "_dropped_keys")
+    of_doc = drops.groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_list("key").alias(gone_keys))
+    joined = docs.join(of_doc.hint("shuffle_hash"), docs["doc_id"] == of_doc[drop_id], "left").drop(drop_id)
+    at = joined.columns.index("text"), joined.columns.index(gone_keys)
     names = [*docs.columns, "kept_text", "n_lines", "n_dropped"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept_text string", "n_lines long", "n_dropped long"])
 
     def run(batches):
-        for b in batches:
-            kept, lines, dropped = [], [], []
-            for text, gone in zip(b.column(at[0]), b.column(at[1]).to_pylist(), strict=True):
-                parts = text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else [b""]
-                lines.append(len(parts))
-                if gone:
-                    out = set(gone)
-                    parts = [x for x in parts if line_key(x, min_chars) not in out]
-                dropped.append(lines[-1] - len(parts))
-                kept.append(b"\n".join(parts))
-            arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for b in in_slices(whole, at[0]):
+                kept, lines, dropped = [], [], []
+                for text, gone in zip(b.column(at[0]), b.column(at[1]).to_pylist(), strict=True):
+                    parts = text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else [b""]
+                    lines.append(len(parts))
+                    if gone:
+                        out = set(gone)
+                        parts = [x for x in parts if line_key(x, min_chars) not in out]
+                    dropped.append(lines[-1] - len(parts))
+                    kept.append(b"\n".join(parts))
+                arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return joined.mapInArrow(run, schema)
 
@@ -138,7 +139,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     spark = docs.sparkSession
     shards = 2 * partitions(spark)
     refs = line_refs(docs, shards, min_chars)
-    # one row for each key and document even where rows repeat a doc_id is not needed here: low and high decide
     tables = cut(filter_shards(count_refs(refs)))
     return drop_lines(docs, probe(refs, tables), min_chars)
 

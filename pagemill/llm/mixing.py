@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, fresh, partitions
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,13 +105,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     taken = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
     name = lambda text_key: F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("doc"), F.col("source"), F.col("source").isNull().cast("string"), text_key.cast("string")).cast("binary"))
     plan = mix(docs, weights, share, most, salt).filter("taken > 0")
-    by_row = plan.groupBy(name(F.col("text_key")).alias("_row")).agg(F.collect_list(taken).alias("_takes"))
-    met = docs.withColumn("_row", name(F.xxhash64("text"))).join(by_row.hint("shuffle_hash"), "_row")
-    nth = F.row_number().over(W.partitionBy("_row").orderBy("_row"))
-    every = met.withColumn("_nth", nth - 1).withColumn("_take", F.explode(F.get("_takes", F.col("_nth"))))
+    row, takes, nth, take, cut_text = fresh(docs.columns, "_row", "_takes", "_nth", "_take", "_cut")
+    by_row = plan.groupBy(name(F.col("text_key")).alias(row)).agg(F.collect_list(taken).alias(takes))
+    met = docs.withColumn(row, name(F.xxhash64("text"))).join(by_row.hint("shuffle_hash"), row)
+    number = F.row_number().over(W.partitionBy(row).orderBy(row))
+    every = met.withColumn(nth, number - 1).withColumn(take, F.explode(F.get(takes, F.col(nth))))
     words = F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
-    every = every.withColumn("_cut", F.when(F.col("_take") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), "")))
-    new = {"text": F.col("_cut")}
+    every = every.withColumn(cut_text, F.when(F.col(take) == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), "")))
+    new = {"text": F.col(cut_text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_take") == 0, F.col("n_chars")).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(take) == 0, F.col("n_chars")).otherwise(F.length(cut_text)).cast(docs.schema["n_chars"].dataType)
     return every.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
