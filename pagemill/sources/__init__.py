@@ -1,0 +1 @@
+"""Readers of paged documents, gold questions and files."""
