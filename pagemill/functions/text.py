@@ -135,7 +135,7 @@ def index_key(path: Column) -> Column:
 
 def parsed_pages(spec: Column, n: Column) -> Column:
     """'12-14,17' to page numbers, in order, repeats kept, those beyond 1..n dropped; parts that are no numbers raise."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
     number = lambda x, i: F.trim(F.element_at(F.split(x, "-"), i)).cast("int")
     spans = F.transform(parts, lambda x: F.struct(number(x, 1).alias("a"), number(x, -1).alias("b")))
     every = F.flatten(F.transform(spans, lambda s: F.when(s["a"] <= s["b"], F.sequence(s["a"], F.greatest(s["a"], s["b"]))).otherwise(F.array().cast("array<int>"))))

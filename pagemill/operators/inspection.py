@@ -74,5 +74,5 @@ def table_rows(pages: DataFrame) -> DataFrame:
     has = lambda x: F.contains(x, F.lit("|"))
     starts = F.filter(F.transform("lines", lambda x, i: F.when(has(x) & ((i == 0) | ~has(F.coalesce(F.get("lines", i - 1), F.lit("")))), i)), lambda i: i.isNotNull())
     rows = lines.filter(has(F.col("line"))).withColumn("_s", F.filter(starts, lambda i: i <= F.col("i")))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return rows.select("doc_id", "page", F.size("_s").cast("long").alias("table_no"), (F.col("i") - F.array_max("_s") + 1).cast("long").alias("row_no"), F.array_join(cells, "\t").alias("cells"))
