@@ -55,8 +55,8 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<!{LETTERS})" + SEPARATORS.join(words_of(phrase)) + f"(?!{LETTERS})"
 
 
-def postings(spark: SparkSession, templates=None) -> DataFrame:
-    """(template, label, word, place, rare, key) of the index: as many rows as the templates have words."""
+def posting_rows(templates=None) -> list[tuple]:
+    """(template, label, word, place, rare, key) of the index: as many as the templates have words."""
     rows = []
     for i, (label, text, key) in enumerate(TEMPLATES if templates is None else templates):
         words, need = words_of(text), words_of(key)
@@ -65,7 +65,11 @@ def postings(spark: SparkSession, templates=None) -> DataFrame:
             is_key = at <= place < at + len(need)
             if is_key or word not in PLAIN:
                 rows.append((i, label, word, place, word not in PLAIN, is_key))
-    return spark.createDataFrame(rows, "template int, label string, word string, place int, rare boolean, key boolean")
+    return rows
+
+
+def postings(spark: SparkSession, templates=None) -> DataFrame:
+    return spark.createDataFrame(posting_rows(templates), "template int, label string, word string, place int, rare boolean, key boolean")
 
 
 def vocabulary(templates=None) -> list[str]:
@@ -148,5 +152,5 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     every = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))))
     return met.select(
         "doc_id", "n_words", total.alias("n_base"), "first_word", "last_word", F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.when(total > 0, F.lit(1.0)).otherwise(F.coalesce("support", F.lit(0.0))).alias("score"),
+        F.when(total > 0, F.lit(1.0)).otherwise(F.round(F.coalesce("support", F.lit(0.0)), 6)).alias("score"),
     )
