@@ -65,6 +65,11 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def widened(df: DataFrame, names: list[str], *types: str) -> str:
+    """The schema of df with more columns."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {t}" for n, t in zip(names, types, strict=True)])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

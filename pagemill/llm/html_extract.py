@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_slices
+from .common import fresh, in_slices, widened
 from .html_blocks import GROUPS, Block, blocks
 from .html_training import MAIN, OTHER, labelled_pages
 
@@ -181,13 +181,12 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     A null or empty html, and a page without main blocks, has an empty text. Broken
     markup is read as browsers read it as far as blocks go: unclosed elements
     end with their parents, unknown ones count as blocks. All columns of pages
-    (with html) stay; columns named as the new ones are refused.
+    (with html) stay; where pages has a column of a new one's name, the new one's
+    is lengthened by underscores (common.fresh).
     """
-    if clash := {"main_text", "n_chars"} & set(pages.columns):
-        raise ValueError(f"columns of pages clash with the result's: {sorted(clash)}")
+    added = fresh(pages.columns, "main_text", "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())
-    at, names = pages.columns.index("html"), [*pages.columns, "main_text", "n_chars"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema] + ["main_text string", "n_chars long"])
+    at, names, schema = pages.columns.index("html"), [*pages.columns, *added], widened(pages, added, "string", "long")
 
     def run(batches):
         for whole in batches:

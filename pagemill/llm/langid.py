@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, in_slices
+from .common import SLICE_BYTES, fresh, in_slices, widened
 
 UNKNOWN = "und"
 BINS = 1 << 16
@@ -205,13 +205,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or has no letter is `und` with score 0, as is every text
     if nothing was learned. A text whose letters are all of scripts that no
     learned language uses gets the most frequent language with score 0. Ties go
-    to the first language by name. Columns named as the new ones are refused.
+    to the first language by name. Where docs has a column of a new one's name,
+    the new one's is lengthened by underscores (common.fresh).
     """
-    if clash := {"lang_pred", "score", "n_spans"} & set(docs.columns):
-        raise ValueError(f"columns of docs clash with the result's: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score", "n_spans"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double", "n_spans long"])
+    added = fresh(docs.columns, "lang_pred", "score", "n_spans")
+    at, names, schema = docs.columns.index("text"), [*docs.columns, *added], widened(docs, added, "string", "double", "long")
 
     def run(batches):
         for whole in batches:

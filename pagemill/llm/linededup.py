@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, fresh, in_slices, partitions
+from .common import checkpoint_dir, cut, fresh, in_slices, partitions, widened
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, SALTS = 10, 4
@@ -99,14 +99,12 @@ def probe(refs: DataFrame, shards: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the columns kept_text, n_lines, n_dropped, by (doc_id, key) in drops. All columns of docs stay."""
-    if clash := {"kept_text", "n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError(f"columns of docs clash with the result's: {sorted(clash)}")
+    added = fresh(docs.columns, "kept_text", "n_lines", "n_dropped")
     drop_id, gone_keys = fresh(docs.columns, "_drop_id", "_dropped_keys")
     of_doc = drops.groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_list("key").alias(gone_keys))
     joined = docs.join(of_doc.hint("shuffle_hash"), docs["doc_id"] == of_doc[drop_id], "left").drop(drop_id)
     at = joined.columns.index("text"), joined.columns.index(gone_keys)
-    names = [*docs.columns, "kept_text", "n_lines", "n_dropped"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept_text string", "n_lines long", "n_dropped long"])
+    names, schema = [*docs.columns, *added], widened(docs, added, "string", "long", "long")
 
     def run(batches):
         for whole in batches:
@@ -134,7 +132,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keys of at least min_chars code points that two or more doc_ids hold lose
     all lines but those in the smallest doc_id. Rows that repeat a doc_id are
     one document; rows without doc_id neither hold nor lose lines. All other
-    columns pass through (names kept_text, n_lines, n_dropped are refused).
+    columns pass through; where docs has a column of a new one's name, the new
+    one's is lengthened by underscores (common.fresh).
     """
     spark = docs.sparkSession
     shards = 2 * partitions(spark)
