@@ -75,26 +75,46 @@ class Lexicon:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        all_ = memoryview(self._map).cast("I")
+        all_ = np.frombuffer(self._map, dtype=np.uint32)
         if all_[0] != MAGIC:
             raise ValueError(f"{path} is no lexicon")
-        self.root, parts, at = all_[1], [], 9
-        for n in all_[2:9]:
+        self.root, parts, at = int(all_[1]), [], 9
+        for n in all_[2:9].tolist():
             parts.append(all_[at : at + n])
             at += n
         self.first, self.final, self.label, self.target, self.before, self.at, self.ids = parts
         self.n_states, self.n_words = len(self.final), len(self.at) - 1
 
+    def lookup_many(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of each word data[start : start + length], or -1. All words take their next byte together."""
+        number = np.zeros(len(starts), dtype=np.int64)
+        state = np.full(len(starts), self.root, dtype=np.int64)
+        out = np.full(len(starts), -1, dtype=np.int64)
+        live = np.flatnonzero(lengths > 0)
+        step = 0
+        while len(live):
+            byte = data[starts[live] + step]
+            arc, last = self.first[state[live]].astype(np.int64), self.first[state[live] + 1]
+            found = np.full(len(live), -1, dtype=np.int64)
+            trying = np.flatnonzero(arc < last)
+            while len(trying):  # arcs stand in order of their weight, so few tries suffice
+                hit = self.label[arc[trying]] == byte[trying]
+                found[trying[hit]] = arc[trying[hit]]
+                trying = trying[~hit]
+                arc[trying] += 1
+                trying = trying[arc[trying] < last[trying]]
+            on = found >= 0
+            live, found = live[on], found[on]
+            number[live] += self.before[found]
+            state[live] = self.target[found]
+            step += 1
+            ended = lengths[live] == step
+            done = live[ended]
+            out[done] = np.where(self.final[state[done]] > 0, number[done], -1)
+            live = live[~ended]
+        return out
+
     def lookup(self, word: bytes) -> list[int] | None:
         """The word's ids, or None if it isn't in the lexicon."""
-        state, number = self.root, 0
-        first, label, target, before = self.first, self.label, self.target, self.before
-        for byte in word:
-            for i in range(first[state], first[state + 1]):
-                if label[i] == byte:
-                    number += before[i]
-                    state = target[i]
-                    break
-            else:
-                return None
-        return list(self.ids[self.at[number] : self.at[number + 1]]) if word and self.final[state] else None
+        n = int(self.lookup_many(np.frombuffer(word, dtype=np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
+        return None if n < 0 else self.ids[self.at[n] : self.at[n + 1]].tolist()
