@@ -136,7 +136,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield out(held_k, held_f)
 
     n = partitions(distinct.sparkSession)
-    keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long")
+    # 64 keys each: dealt out again, as what is left after grouping may have been put into a few tasks
+    keyed = distinct.select("fp").repartition(n, "fp").mapInArrow(expand, "key long, fp long")
     found = keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(join, "src long, dst long")
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
