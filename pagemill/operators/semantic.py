@@ -55,6 +55,23 @@ class EncoderProvider:
         return df.withColumn("vec", encode("text"))
 
 
+class Sticky:
+    """A provider that is made once; if that fails, None from then on, and the reason is kept."""
+
+    def __init__(self, make: Callable[[], Provider]) -> None:
+        self._make, self._tried, self._provider = make, False, None
+        self.reason = ""
+
+    def get(self) -> Provider | None:
+        if not self._tried:
+            self._tried = True
+            try:
+                self._provider = self._make()
+            except Exception as e:  # any failure of a model means keyword scores only
+                self.reason = f"{type(e).__name__}: {e}"
+        return self._provider
+
+
 def dot(a: Column, b: Column) -> Column:
     """The sum of products in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

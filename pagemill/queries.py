@@ -52,7 +52,7 @@ class Tables:
 
     @cached_property
     def pages_x(self) -> DataFrame:
-        return self.pages.unionByName(self.spark.createDataFrame(EXTRA, "doc_id long, page long, text string"))
+        return self.pages.unionByName(lexical.local(self.spark, EXTRA, "doc_id long, page long, text string"))
 
     @cached_property
     def passages(self) -> DataFrame:
@@ -60,7 +60,7 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, t, k) for i, t, _, k in S.QUESTIONS], "query_id long, text string, k int")
+        return lexical.local(self.spark, [(i, t, k) for i, t, _, k in S.QUESTIONS], "query_id long, text string, k int")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -91,7 +91,7 @@ class Tables:
 
     @cached_property
     def references(self) -> DataFrame:
-        return self.spark.createDataFrame(REFERENCES, "ref_id long, target string")
+        return lexical.local(self.spark, REFERENCES, "ref_id long, target string")
 
     @cached_property
     def log(self) -> DataFrame:
@@ -609,7 +609,7 @@ S.PARTS["asks"] = S.values(ASKS, "ask_id, target, query")
 
 @query("SELECT ask_id, coalesce(t, u) AS target, coalesce(u, t) AS query FROM (SELECT ask_id, nullif(trim(target), '') AS t, nullif(trim(query), '') AS u FROM asks)")
 def ask_repair(t):
-    return resolver.repaired(t.spark.createDataFrame(ASKS, "ask_id long, target string, query string"))
+    return resolver.repaired(lexical.local(t.spark, ASKS, "ask_id long, target string, query string"))
 
 
 # --- session ------------------------------------------------------------------------

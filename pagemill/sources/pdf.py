@@ -4,7 +4,8 @@
     spark.read.format("pdf_pages").option("extractor", "auto").load("/folder/a.pdf,/folder/b.pdf")
 
 One partition for each file; a page that can't be read is empty but stays, so
-that numbers are exact. With view=outline the rows are (path, pos, title).
+that numbers are exact. With view=outline the rows are (path, pos, title), with
+view=tables (path, page, table_no, row_no, cells).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import importlib.util
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+VIEWS = {"pages": "path string, page int, text string", "outline": "path string, pos int, title string", "tables": "path string, page int, table_no int, row_no int, cells array<string>"}
 EXTRACTORS = {"pdfium": "pypdfium2", "pypdf": "pypdf"}
 
 
@@ -47,6 +49,17 @@ def outline_titles(path: str) -> list[str]:
         return []
 
 
+def table_rows(path: str):
+    """(page, table_no, row_no, cells) of the tables that the optional table extractor finds."""
+    import pdfplumber
+
+    with pdfplumber.open(path) as document:
+        for number, page in enumerate(document.pages, start=1):
+            for table_no, table in enumerate(page.extract_tables() or [], start=1):
+                for row_no, row in enumerate(table, start=1):
+                    yield number, table_no, row_no, [x or "" for x in row]
+
+
 def _safe(read) -> str:
     try:
         return read() or ""
@@ -60,7 +73,7 @@ class PdfPages(DataSource):
         return "pdf_pages"
 
     def schema(self) -> str:
-        return "path string, pos int, title string" if self.options.get("view") == "outline" else "path string, page int, text string"
+        return VIEWS[self.options.get("view", "pages")]
 
     def reader(self, schema) -> DataSourceReader:
         return PdfReader(dict(self.options))
@@ -69,7 +82,7 @@ class PdfPages(DataSource):
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p.strip() for p in options["path"].split(",") if p.strip()]
-        self.outline = options.get("view") == "outline"
+        self.view = options.get("view", "pages")
         self.extractor = extractor_name(options.get("extractor", "auto"))
 
     def partitions(self):
@@ -77,6 +90,12 @@ class PdfReader(DataSourceReader):
 
     def read(self, partition):
         path = partition.value
-        rows = outline_titles(path) if self.outline else text_of_pages(path, self.extractor)
-        for i, text in enumerate(rows):
-            yield path, i + (not self.outline), text
+        if self.view == "tables":
+            for row in table_rows(path):
+                yield (path, *row)
+        elif self.view == "outline":
+            for i, title in enumerate(outline_titles(path)):
+                yield path, i, title
+        else:
+            for i, text in enumerate(text_of_pages(path, self.extractor)):
+                yield path, i + 1, text

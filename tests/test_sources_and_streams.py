@@ -9,9 +9,10 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import session
+from pagemill.functions.tokencount import token_counter
+from pagemill.operators import semantic, session
 from pagemill.sources import pages as sources
-from pagemill.sources import pdf
+from pagemill.sources import pdf, sinks
 from pagemill.streaming import sessions as streams
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -50,6 +51,39 @@ def test_pdf_source(spark, tmp_path):
         pytest.skip("no extractor here")
 
 
+def test_sinks(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 1, "x\n| a | b |\nc | d | e"), ("d", 2, "y")], "doc_id string, page long, text string")
+    sinks.write_tables(pages, str(tmp_path / "t"))
+    rows = spark.read.option("header", "true").csv(str(tmp_path / "t")).orderBy("row_no").collect()
+    assert [(r["c1"], r["c2"], r["c3"]) for r in rows] == [("a", "b", None), ("c", "d", "e")]
+    sinks.write_blocks(pages, str(tmp_path / "b"), 1)
+    assert spark.read.json(str(tmp_path / "b")).count() == 2
+    sinks.write_text(pages, str(tmp_path / "s"))
+    assert spark.read.option("wholetext", "true").text(str(tmp_path / "s")).count() >= 1
+    files = spark.createDataFrame([("/b", "b"), ("/a", "z"), ("/c", "c")], "path string, name string")
+    assert tuple(sinks.inventory(files, 2).first()) == (3, ["b", "z"])
+
+
+def test_token_counter(spark):
+    import public_tokenizers
+
+    texts = spark.createDataFrame([(0, "hello world"), (1, None), (2, "")], "i int, text string")
+    count = token_counter(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    assert [r["n"] for r in texts.select("i", count(F.col("text")).alias("n")).orderBy("i").collect()] == [2, 1, 1]
+    assert [r["n"] for r in texts.select("i", token_counter()(F.coalesce("text", F.lit(""))).alias("n")).orderBy("i").collect()] == [2, 1, 1]
+
+
+def test_a_model_that_fails_fails_once():
+    tries = []
+
+    def make():
+        tries.append(1)
+        raise ImportError("no model")
+
+    sticky = semantic.Sticky(make)
+    assert sticky.get() is None and sticky.get() is None and len(tries) == 1 and "no model" in sticky.reason
+
+
 def test_streams_equal_the_batch(spark, tmp_path):
     log = [(1, 1, "search", None, 100, 10, 2), (2, 1, "clear", "a", 0, 0, 0), (3, 1, "search", None, 50, 80, 1), (4, 1, "clear", None, 0, 0, 0), (5, 1, "search", None, 7, 1, 1), (6, 2, "search", None, 9, 1, 3)]
     schema = "seq long, session_id long, op string, doc_id string, naive_tokens long, actual_tokens long, chunks int"
