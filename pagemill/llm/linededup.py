@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint_dir, cut, fresh, in_slices, partitions, widened
 from .cuckoo import CuckooFilter
 
-MIN_CHARS, SALTS = 10, 4
+#: The shortest key in code points, and the references of shared lines that a task takes of a shard: so many, or twice the mean.
+MIN_CHARS, TASK_ROWS = 10, 1_000
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -63,21 +64,29 @@ def count_refs(refs: DataFrame) -> DataFrame:
 
 
 def filter_shards(counts: DataFrame) -> DataFrame:
-    """(shard, filter, keys, owners) of the keys that more than one document holds."""
+    """(shard, rows, filter, keys, owners) of the keys that more than one document holds; rows: their references."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = np.array(table["key"].to_pylist(), dtype="S16") if table.num_rows else np.zeros(0, dtype="S16")
         raw = np.frombuffer(b"".join(table["key"].to_pylist()), dtype=">u8").reshape(-1, 2).astype(np.uint64)
         order = np.lexsort((raw[:, 1], raw[:, 0]))
         raw, owners = raw[order], table["low"].to_numpy()[order]
-        return pa.table({"shard": table["shard"][:1], "filter": pa.array([CuckooFilter.of(raw[:, 1]).to_bytes()], pa.binary()), "keys": pa.array([raw.tobytes()], pa.binary()), "owners": pa.array([owners.astype(np.int64).tobytes()], pa.binary())}) if len(keys) else None
+        rows = pa.array([int(table["refs"].to_numpy().sum())], pa.int64())
+        return pa.table({"shard": table["shard"][:1], "rows": rows, "filter": pa.array([CuckooFilter.of(raw[:, 1]).to_bytes()], pa.binary()), "keys": pa.array([raw.tobytes()], pa.binary()), "owners": pa.array([owners.astype(np.int64).tobytes()], pa.binary())}) if len(keys) else None
 
-    shared = counts.filter(F.col("low") != F.col("high")).select("shard", "key", "low")
-    return shared.groupBy("shard").applyInArrow(run, "shard int, filter binary, keys binary, owners binary")
+    shared = counts.filter(F.col("low") != F.col("high")).select("shard", "key", "refs", "low")
+    return shared.groupBy("shard").applyInArrow(run, "shard int, rows long, filter binary, keys binary, owners binary")
 
 
-def probe(refs: DataFrame, shards: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(doc_id, key) of the lines to drop. Each shard's references are dealt over `salts` tasks, which all get its filter."""
+def probe(refs: DataFrame, shards: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(doc_id, key) of the lines to drop.
+
+    A shard with a very common line has many more references than the mean:
+    they are dealt over several tasks, which all get its filter. The shards'
+    sizes, a row for each, are broadcast.
+    """
+    mean = shards.agg(F.avg("rows").alias("mean")).first()["mean"] or 0
+    sizes = shards.select("shard", F.ceil(F.col("rows") / max(task_rows, int(2 * mean))).cast("int").alias("salts"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.binary())})
@@ -92,8 +101,8 @@ def probe(refs: DataFrame, shards: DataFrame, salts: int = SALTS) -> DataFrame:
         drop = [i for i in maybe.tolist() if (o := known.get((int(raw[i, 0]), int(raw[i, 1])))) is not None and o != ids[i]]
         return left.take(drop).select(["doc_id", "key"]) if drop else out
 
-    salted = refs.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "key", "doc_id")
-    every = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = refs.join(F.broadcast(sizes), "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "key", "doc_id")
+    every = shards.join(F.broadcast(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter", "keys", "owners")
     return salted.groupBy("shard", "salt").cogroup(every.groupBy("shard", "salt")).applyInArrow(run, "doc_id long, key binary")
 
 

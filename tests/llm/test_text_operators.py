@@ -125,8 +125,8 @@ def test_language_of_odd_rows(spark, odd, none):
     assert langid.identify(none, model).collect() == []
     nothing = langid.train(none)
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.identify(odd.withColumnRenamed("key", "score"), model)
+    clash = langid.identify(odd.withColumnRenamed("key", "score"), model)
+    assert clash.columns[-3:] == ["lang_pred", "score_", "n_spans"] and clash.count() == len(ODD)
 
 
 def test_viterbi_is_the_best_path_and_scripts_narrow():
@@ -242,6 +242,16 @@ def test_line_dedup(spark, docs, odd, none):
     assert lines_of(linededup.dedup_lines(spark.createDataFrame(ties, "doc_id long, text string"))) == brute_lines(ties)
 
 
+def test_a_very_common_line_is_dealt_out(spark):
+    rows = [(i, f"common to every document\nline of its own number {i}\npair line {i // 2} here") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    refs = linededup.line_refs(docs, 2)
+    tables = linededup.filter_shards(linededup.count_refs(refs)).cache()
+    drops = {tuple(r) for r in linededup.probe(refs, tables, task_rows=50).collect()}
+    assert drops == {tuple(r) for r in linededup.probe(refs, tables).collect()}
+    assert lines_of(linededup.drop_lines(docs, linededup.probe(refs, tables, task_rows=50))) == brute_lines(rows)
+
+
 def test_line_store_can_be_undone(spark):
     rows = [(i, f"line number {i % 3} here\nunique line {i} there\ncommon to every document") for i in range(9)]
     frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
@@ -300,7 +310,10 @@ def test_bpe_of_odd_texts(library):
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids, text
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
-        assert own.run(text)[1] == own.decode(ids)
+    raw = [t.encode() for t in texts]
+    ids, bounds = own.run(raw)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [own.encode(t) for t in texts]
+    assert own.decode_many(ids, bounds).to_pylist() == [own.decode(own.encode(t)) for t in texts]
 
 
 def test_bpe_of_odd_rows(odd, none, library):
