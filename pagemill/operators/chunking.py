@@ -19,9 +19,9 @@ def passages(pages: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     last window of no more than the overlap is left out, unless it is the only one.
     """
     step = config.passage_words - config.passage_overlap
-    every = pages.select("doc_id", "page", T.words(F.coalesce("text", F.lit(""))).alias("words")).filter(F.size("words") > 0)
+    every = pages.select("doc_id", "page", T.words(F.coalesce("text", F.lit(""))).alias("words"))
     n = F.size("words")
-    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: (s == 0) | (n - s > config.passage_overlap))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: ((s == 0) & (n > 0)) | (n - s > config.passage_overlap))
     cut = every.select("doc_id", "page", "words", F.posexplode(starts).alias("i", "start"))
     return cut.select(
         "doc_id", (F.col("page").cast("long") * PER_PAGE + F.col("i") + 1).alias("passage_id"), F.col("page").cast("long").alias("page"), (F.col("i") + 1).cast("long").alias("passage_no"),

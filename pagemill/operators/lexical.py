@@ -27,6 +27,21 @@ def local(spark: SparkSession, rows: list, schema) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]), StructType(fields))
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, kept once it is computed, as several steps of a search read it; until release()."""
+    _KEPT.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Let go of what searches have kept."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 class Asked:
     """A batch's question terms (query_id, term, m), computed once; `few` tells whether they, and what has no more rows, may be broadcast."""
 
@@ -100,7 +115,7 @@ def _asked(units: DataFrame, keys: list[str], asked: Asked) -> DataFrame:
     """Postings of the terms that are asked for, each with its unit's length, which travels with the tokens."""
     token = units.select(*keys, T.raw_tokens(F.coalesce("text", F.lit(""))).alias("_all")).select(*keys, F.size("_all").cast("long").alias("dl"), F.explode("_all").alias("_t"))
     found = token.select(*keys, "dl", T.stem(F.col("_t")).alias("term")).join(asked.side(asked.distinct), "term", "left_semi")
-    return found.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    return kept(found.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def bm25(units: DataFrame, keys: list[str], questions: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
@@ -143,7 +158,7 @@ def prefixed(units: DataFrame, keys: list[str], asked: Asked) -> DataFrame:
     token = units.select(*keys, T.raw_tokens(F.coalesce("text", F.lit(""))).alias("_all")).select(*keys, F.size("_all").cast("long").alias("dl"), F.explode("_all").alias("_t"))
     heads = asked.side(asked.distinct.withColumn("_head", F.left("term", F.lit(asked.least))))
     met = token.withColumn("_head", F.left("_t", F.lit(asked.least))).join(heads, "_head").filter(F.col("_t").startswith(F.col("term")))
-    return met.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    return kept(met.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def prefix_bm25(units: DataFrame, keys: list[str], questions: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:

@@ -31,6 +31,7 @@ def hybrid(passages: DataFrame, questions: DataFrame, sem: DataFrame | None = No
     takes the prefix index's scores.
     """
     scores = (lexical.prefix_bm25 if indexed else lexical.bm25)(passages, KEYS, questions, config).withColumnRenamed("score", "kw")
+    scores = lexical.kept(scores)  # few rows; the bounds and the candidates both need them
     sem = no_vectors(passages) if sem is None else sem
     bounds = fusion.score_bounds(scores, sem, doc_sizes(passages), questions.select("query_id"))
     found = fusion.candidates(passages, scores, sem, config.semantic_floor)
@@ -117,7 +118,7 @@ def selected_pages(pages: DataFrame, top: DataFrame, config: RetrievalConfig = D
 
 def slice_text(pages: DataFrame, top: DataFrame, config: RetrievalConfig = DEFAULT, follow_references: bool = True) -> DataFrame:
     chosen = selected_pages(pages, top, config, follow_references)
-    chosen = chosen.persist()  # a few pages for each question
+    chosen = lexical.kept(chosen)  # a few pages for each question
     met = pages.join(small(chosen), ["doc_id", "page"])
     head = F.concat(F.lit("----- [doc "), F.col("doc_id").cast("string"), F.lit(" page "), F.col("page").cast("string"), F.lit("]"), F.when(F.col("xref"), "  [cross-ref]").otherwise(""), F.lit(" -----\n"))
     block = met.withColumn("at", F.struct("doc_id", "page")).withColumn("block", F.concat(head, T.stripped(F.col("text"))))
@@ -186,6 +187,7 @@ class RetrievalSession:
         blocks = search(passages, questions, None, self.config)
         missing = lexical.missing_terms(passages, KEYS, questions, self.config)
         row = responses(blocks, questions, missing, sum(v["naive"] for v in chosen.values()), True, self.config).first()
+        lexical.release()
         if row["answered"]:
             for key in ("chunks", "actual_tokens", "naive_tokens"):
                 self.totals[key] += row[key]

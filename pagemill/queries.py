@@ -44,7 +44,7 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return sources.spread(self.read("documents").select("doc_id", "text"))
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -58,6 +58,11 @@ class Tables:
     def passages(self) -> DataFrame:
         return chunking.passages(self.pages)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The passages for searches, which read them several times: kept, as an index on disk would keep them."""
+        return self.passages.select("doc_id", "passage_id", "page", "text").persist()
+
     @cached_property
     def questions(self) -> DataFrame:
         return lexical.local(self.spark, [(i, t, k) for i, t, _, k in S.QUESTIONS], "query_id long, text string, k int")
@@ -74,11 +79,11 @@ class Tables:
 
     @cached_property
     def hybrid(self) -> DataFrame:
-        return P.hybrid(self.passages, self.questions, self.sem)
+        return P.hybrid(self.stored, self.questions, self.sem)
 
     @cached_property
     def hybrid_indexed(self) -> DataFrame:
-        return P.hybrid(self.passages, self.questions, self.sem, indexed=True)
+        return P.hybrid(self.stored, self.questions, self.sem, indexed=True)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -433,13 +438,13 @@ S.PARTS["chosen"] = "SELECT p.query_id, p.rank, p.doc_id, p.page, p.passage_id,
 @query("SELECT query_id, doc_id, page, rank FROM kept_all")
 def dedup_greedy(t):
     ranked = fusion.top_passages(t.hybrid, 1_000_000_000).select("query_id", "doc_id", "page", "passage_id", "rank")
-    texts = ranked.join(t.passages.select("doc_id", "passage_id", "text"), ["doc_id", "passage_id"])
+    texts = ranked.join(t.stored.select("doc_id", "passage_id", "text"), ["doc_id", "passage_id"])
     return selection.dedup(texts).select("query_id", "doc_id", "page", "rank")
 
 
 @query("SELECT query_id, rank, doc_id, page, passage_id, score FROM chosen")
 def search_picked(t):
-    return P.picked(t.passages, t.questions, t.hybrid).drop("text")
+    return P.picked(t.stored, t.questions, t.hybrid).drop("text")
 
 
 S.PARTS["sents"] = f"SELECT query_id, rank, idx, sentence, len(regexp_extract_all(sentence, '\\S+')) AS n_words, len(list_filter(list_distinct({S.tokens('sentence')}), lambda t: list_contains(terms, t)))::DOUBLE AS score FROM (SELECT c.query_id, c.rank, unnest(s) AS sentence, unnest(range(len(s))) AS idx, coalesce(terms, []) AS terms FROM (SELECT *, {S.sentences('text')} AS s FROM chosen WHERE len(regexp_extract_all(text, '\\S+')) > 60) c LEFT JOIN (SELECT query_id, list(DISTINCT term) AS terms FROM qt GROUP BY 1) USING (query_id))"
@@ -454,7 +459,7 @@ S.PARTS["fitting"] = "SELECT * FROM (SELECT *, sum(length(block)) OVER (PARTITIO
 
 
 def _chosen(t):
-    return P.picked(t.passages, t.questions, t.hybrid)
+    return P.picked(t.stored, t.questions, t.hybrid)
 
 
 def _terms(t):
@@ -494,7 +499,7 @@ def budget_prefix(t):
 
 @query("SELECT query_id, rank, doc_id, page, block FROM fitting")
 def search_topk(t):
-    return P.search(t.passages, t.questions, t.sem).select("query_id", "rank", "doc_id", "page", "block")
+    return P.search(t.stored, t.questions, t.sem).select("query_id", "rank", "doc_id", "page", "block")
 
 
 S.PARTS["lost_"] = "SELECT query_id, string_agg(DISTINCT term, ', ' ORDER BY term) AS lost FROM qt WHERE term NOT IN (SELECT term FROM ptf) GROUP BY 1"
@@ -506,7 +511,7 @@ S.PARTS["answers"] = f"""SELECT query_id, body IS NOT NULL AS answered, coalesce
 
 def _responses(t):
     naive = session.naive_tokens(t.pages).agg(F.sum("naive_tokens").alias("n")).first()["n"]
-    return P.responses(P.search(t.passages, t.questions, t.sem), t.questions, lexical.missing_terms(t.passages, KEYS, t.questions), naive or 0)
+    return P.responses(P.search(t.stored, t.questions, t.sem), t.questions, lexical.missing_terms(t.stored, KEYS, t.questions), naive or 0)
 
 
 @query(f"SELECT query_id, answered, response, chunks, CASE WHEN answered THEN {S.count_tokens('response')} + 8 END AS actual_tokens, naive_tokens FROM answers")
@@ -769,8 +774,8 @@ def false_accept(t):
 @query("SELECT floor::DOUBLE AS floor, query_id, count(*) AS eligible FROM dense CROSS JOIN (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.35]) AS floor) WHERE sem >= floor OR kw > 0 GROUP BY ALL")
 def floor_sweep(t):
     floors = [0.15, 0.2, 0.25, 0.3, 0.35]
-    scores = lexical.bm25(t.passages, KEYS, t.questions).withColumnRenamed("score", "kw")
-    found = fusion.candidates(t.passages, scores, t.sem, floors[0])
+    scores = lexical.bm25(t.stored, KEYS, t.questions).withColumnRenamed("score", "kw")
+    found = fusion.candidates(t.stored, scores, t.sem, floors[0])
     each = found.withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
     return each.filter((F.col("sem") >= F.col("floor")) | (F.col("kw") > 0)).groupBy("floor", "query_id").agg(F.count("*").alias("eligible"))
 
@@ -778,5 +783,5 @@ def floor_sweep(t):
 @query(f"SELECT count(*) AS questions, sum(a)::BIGINT AS naive, sum(b)::BIGINT AS sliced, (sum(a) - sum(b))::BIGINT AS saved, floor((sum(a) - sum(b)) * 100 / greatest(sum(a), 1)::DOUBLE)::BIGINT AS percent FROM (SELECT q.query_id, (SELECT sum(naive_tokens) FROM naive_) AS a, coalesce(b, 0) AS b FROM q LEFT JOIN (SELECT query_id, {S.count_tokens('body')} AS b FROM (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS body FROM fitting GROUP BY 1)) USING (query_id))")
 def ab_tokens(t):
     naive = session.naive_tokens(t.pages).agg(F.sum("naive_tokens").alias("n")).first()["n"]
-    body = inspection.joined(P.search(t.passages, t.questions, t.sem), ["query_id"], "rank", F.col("block"), "\n\n", "body")
+    body = inspection.joined(P.search(t.stored, t.questions, t.sem), ["query_id"], "rank", F.col("block"), "\n\n", "body")
     return evaluation.ab_tokens(t.questions.select("query_id", F.lit(naive).alias("tokens")), body.select("query_id", T.count_tokens(F.col("body")).alias("tokens")))

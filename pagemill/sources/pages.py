@@ -9,6 +9,12 @@ from ..config import DEFAULT, RetrievalConfig
 from ..schema import GOLD
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than twice the cores, dealt out evenly: a small table is one row group, which keeps one core busy. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def pages_of_lines(docs: DataFrame, lines: int = 5) -> DataFrame:
     """Pages of so many lines each from docs (doc_id, text); a null text is one empty page. No shuffle."""
     every = F.split(F.coalesce("text", F.lit("")), "\n")
