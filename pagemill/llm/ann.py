@@ -8,8 +8,9 @@ of the pivots' ranks), and the best of them are reranked by the true distance.
 
 The index is a table of blocks; each block holds about BLOCK vectors with
 their permutations and the inverted files over them. Every block is searched
-for every query, in packs of PACK queries, so that a third of equal vectors
-spreads over all blocks.
+for every query, in packs of PACK queries. Equal vectors of a block are one
+entry with all their ids, so that a very common vector takes one place of a
+query's shortlist, and spreads over all blocks.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PIVOTS, POSTED, PROBED, BLOCK, PACK = 128, 16, 24, 8192, 512
-#: Of a block's entries that a query finds, this share is reranked, LEAST at least.
-RERANK, LEAST = 0.2, 400
+PIVOTS, POSTED, PROBED, BLOCK, PACK = 128, 16, 32, 8192, 512
+#: Of each inverted file that a query probes, this share is reranked, LEAST at least. By file, as a crowd of nearly equal
+#: vectors, which are all in the same files, would else fill the shortlist.
+RERANK, LEAST = 0.25, 64
 #: The pivots are drawn from this many vectors, those with the smallest hashes of vec_id.
 SAMPLE = 1024
 
@@ -68,40 +70,50 @@ def ranks_of(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def build_index(vectors: DataFrame, pivots: np.ndarray, blocks: int, posted: int = POSTED) -> DataFrame:
-    """(block, ids, vectors, ranks, begins, entries): begins and entries are the pivots' inverted files over the block's rows."""
-    names = ["block", "ids", "vectors", "ranks", "begins", "entries"]
+    """(block, ids, first, vectors, ranks, begins, entries): a block's distinct vectors, the ids of each from first[i] on, ascending, and the pivots' inverted files over them."""
+    names = ["block", "ids", "first", "vectors", "ranks", "begins", "entries"]
 
     def run(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
-        x = matrix(table["embedding"], len(ids))[by := np.argsort(ids)]
+        x, which = np.unique(matrix(table["embedding"], len(ids)), axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        by = np.lexsort((ids, which))
+        first = np.searchsorted(which[by], np.arange(len(x) + 1))
         order, ranks = ranks_of(x, pivots)
         near = order[:, :posted]
         entries = np.argsort(near.reshape(-1), kind="stable") // near.shape[1]
         begins = np.searchsorted(np.sort(near.reshape(-1)), np.arange(len(pivots) + 1))
-        data = [ids[by].astype(np.int64), x, ranks, begins.astype(np.int64), entries.astype(np.int32)]
+        data = [ids[by].astype(np.int64), first.astype(np.int64), x, ranks, begins.astype(np.int64), entries.astype(np.int32)]
         return pa.table([table["block"][:1], *(pa.array([a.tobytes()], pa.binary()) for a in data)], names=names)
 
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, vectors binary, ranks binary, begins binary, entries binary")
+    return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, first binary, vectors binary, ranks binary, begins binary, entries binary")
 
 
-def search_block(q_ids, q, ids, x, ranks, begins, entries, pivots, k, probed, rerank, least):
-    """The k nearest of one block that the index finds for each query: (query row, id, distance)."""
+def search_block(q_ids, q, ids, first, x, ranks, begins, entries, pivots, k, probed, rerank, least):
+    """The k nearest of one block that the index finds for each query: (query row, ids, distances)."""
+    few = np.minimum(np.diff(first), k + 1)  # of equal vectors no more than the k first and the query itself can count
     order, q_ranks = ranks_of(q, pivots)
     for i in range(len(q)):
         lists = [entries[begins[p] : begins[p + 1]] for p in order[i, :probed]]
-        found = np.zeros(len(ids), dtype=bool)
+        found = np.zeros(len(x), dtype=bool)
         found[np.concatenate(lists)] = True
-        found &= ids != q_ids[i]
         rows = np.flatnonzero(found)
-        n = max(least, int(np.ceil(rerank * len(rows))))
-        if len(rows) > n:
-            footrule = np.abs(ranks[rows] - q_ranks[i]).sum(axis=1, dtype=np.int32)
-            rows = np.sort(rows[np.argsort(footrule, kind="stable")[:n]])
+        footrule = np.zeros(len(x), dtype=np.int32)
+        footrule[rows] = np.abs(ranks[rows] - q_ranks[i]).sum(axis=1, dtype=np.int32)
+        found[:] = False
+        for entry in lists:
+            n = max(least, int(np.ceil(rerank * len(entry))))
+            found[entry[np.argsort(footrule[entry], kind="stable")[:n]] if n < len(entry) else entry] = True
+        rows = np.flatnonzero(found)
         d = x[rows] - q[i]
         d = np.sqrt((d * d).sum(axis=1))
-        best = np.lexsort((ids[rows], d))[:k]
-        yield i, ids[rows][best], d[best]
+        n = few[rows]
+        own = ids[np.repeat(first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        d, other = np.repeat(d, n), own != q_ids[i]
+        own, d = own[other], d[other]
+        best = np.lexsort((own, d))[:k]
+        yield i, own[best], d[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, rerank: float = RERANK, least: int = LEAST) -> DataFrame:
@@ -131,10 +143,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
         for b in batches:
             for row in b.to_pylist():
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = np.frombuffer(row["q"]).reshape(len(q_ids), -1), np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                ranks = np.frombuffer(row["ranks"], np.int16).reshape(len(ids), -1)
+                first, width = np.frombuffer(row["first"], np.int64), chosen.shape[1]
+                q, x = np.frombuffer(row["q"]).reshape(-1, width), np.frombuffer(row["vectors"]).reshape(-1, width)
+                ranks = np.frombuffer(row["ranks"], np.int16).reshape(len(x), -1)
                 begins, entries = np.frombuffer(row["begins"], np.int64), np.frombuffer(row["entries"], np.int32)
-                out = list(search_block(q_ids, q, ids, x, ranks, begins, entries, chosen, k, probed, rerank, least))
+                out = list(search_block(q_ids, q, ids, first, x, ranks, begins, entries, chosen, k, probed, rerank, least))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([np.full(len(v), q_ids[i]) for i, v, _ in out])), pa.array(np.concatenate([v for _, v, _ in out])), pa.array(np.concatenate([d for _, _, d in out]))], names=["query_id", "vec_id", "score"]
                 )
