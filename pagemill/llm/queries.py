@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.pages import spread
 from . import ann, bpe, fingerprints, html_extract, langid, licenses, linededup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for operators that work long on each text; a small table is dealt out over all cores."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ FROM d JOIN b ON (d.bits >> (60 - b.depth)) = b.cell WHERE b.shard_bytes <= 1048
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
-    docs = documents(spark, sf_dir)
+    docs = spread_documents(spark, sf_dir)
     model = langid.train(docs.filter(~langid.held_out()))
     out = langid.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_spans")
@@ -69,7 +75,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
-    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return simhash.near_duplicates(spread_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query
@@ -102,7 +108,7 @@ FROM marked GROUP BY doc_id
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the public word-level BPE vocabulary."""
-    out = bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+    out = bpe.encode_documents(spread_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -144,7 +150,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 @query
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in every document."""
-    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return licenses.scan(spread_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 _POSTINGS = ", ".join(f"({t}, '{label}', '{word}', {place}, {rare}, {key})" for t, label, word, place, rare, key in licenses.posting_rows())
