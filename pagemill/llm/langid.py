@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fresh, in_slices, widened
+from .common import fresh, in_slices, widened
 
 UNKNOWN = "und"
 BINS = 1 << 16
 SMOOTH, SWITCH, RULED_OUT = 0.1, 12.0, -50.0
 #: The classifier is fitted on about this many labelled documents, spread evenly by a hash of doc_id (all, if there are fewer).
 TRAIN_DOCS = 20_000
+#: Texts are worked on in slices of at most this many bytes (or one text); a letter takes about 30 bytes meanwhile.
+SLICE = 2 << 20
 #: A language is a candidate for the scripts that hold at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 # First code points of script ranges and the scripts' names, after Unicode's blocks.
@@ -59,10 +61,14 @@ class Words:
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         ends = np.cumsum(np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered)) + 1)
         self.counts = np.diff(np.searchsorted(self.starts, ends + 1), prepend=0)  # words of each text
-        kept = np.where(letter, self.points, 0).astype(np.uint64)
-        self.at = np.flatnonzero(letter)
-        a, b, c = kept[self.at - 1], kept[self.at], kept[self.at + 1]
-        self.bins = (((a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c * np.uint64(0x165667B19E3779F9))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int64)
+        kept = np.where(letter, self.points, np.uint32(0))  # 0: no letter
+        h = kept[:-2] * np.uint32(0x9E3779B1)
+        h ^= kept[1:-1] * np.uint32(0x85EBCA77)
+        h ^= kept[2:] * np.uint32(0xC2B2AE3D)
+        h *= np.uint32(0x27D4EB2F)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x165667B1)
+        self.bins = (h >> np.uint32(16)).astype(np.uint16)[letter[1:-1]]  # the first and last sign are line ends
         self.lengths = self.ends - self.starts
         self.letter_starts = np.concatenate(([0], np.cumsum(self.lengths)))
         self.scripts = SCRIPT_IDS[np.searchsorted(SCRIPT_STARTS, self.points[self.starts], side="right") - 1]
@@ -82,7 +88,7 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """words x languages. Where no language uses the script, the score is 0 for all."""
         out = np.zeros((len(words.starts), len(self.langs)), dtype=np.float32)
-        step = SLICE_BYTES // max(4, len(self.langs))
+        step = SLICE // max(2, len(self.langs))
         first = 0
         while first < len(out):
             last = max(first + 1, int(np.searchsorted(words.letter_starts, words.letter_starts[first] + step, side="right")) - 1)
@@ -171,7 +177,7 @@ def train(labelled: DataFrame, limit: int = TRAIN_DOCS) -> Model:
 
     def count(batches):
         for whole in batches:
-            for b in in_slices(whole, 0):
+            for b in in_slices(whole, 0, SLICE):
                 langs = b.column(1).to_pylist()
                 words = Words(b.column(0).to_pylist())
                 text_of_word = np.repeat(np.arange(len(langs)), words.counts)
@@ -214,7 +220,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in in_slices(whole, at):
+            for b in in_slices(whole, at, SLICE):
                 lang, score, spans = shared.value.predict([x.as_py() or "" for x in b.column(at)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64())], names=names)
 
