@@ -29,7 +29,7 @@ from .common import IS_SPACE, cut, fresh, in_slices, widened
 from .lexicon import Lexicon, compile_lexicon
 
 #: Words of the lexicon at most, their longest length, distinct words that a task counts before it passes them on, and bytes worked on at once.
-LEXICON_WORDS, LONGEST, COUNTER, SLICE = 200_000, 64, 200_000, 3 << 20
+LEXICON_WORDS, LONGEST, COUNTER, SLICE = 200_000, 64, 150_000, 2 << 20
 END = "</w>"
 # Unicode's White_Space, and the pre-tokenizer's pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
