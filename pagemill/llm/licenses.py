@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare tokens, with DataFrame functions only.
 
-A file's licence words are looked up in an index of template postings. Its
-words of highest IDF (over the whole corpus) are intersected with the
+A file's licence words are looked up in an index of template postings. All of
+them that the templates have, weighed by IDF over the whole corpus, are intersected with the
 postings by relative position: pairs of a place in the file and a place in a
 template with the same difference lie on one placement of the template. A
 placement that covers enough of the template's weight is a candidate, and
@@ -14,7 +14,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import cut
 
@@ -40,7 +39,7 @@ TEMPLATES = [
 ]
 #: Words that templates have but that say little; they are indexed only where a key phrase has them.
 PLAIN = frozenset("a any and are by for form in is of on or the this to under use with without work made code".split())
-#: Words of a file that are looked up, and the share of a template's weight that a placement must cover.
+#: Words of a file that the SQL twin looks up (the operator looks up all), and the share of a template's weight that a placement must cover.
 RAREST, COVER = 16, 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LETTERS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -106,18 +105,20 @@ def places(docs: DataFrame, templates=None) -> DataFrame:
     )
 
 
-def match_templates(hits: DataFrame, n_docs: int, templates=None, rarest: int = RAREST, cover: float = COVER) -> DataFrame:
-    """(doc_id, text_key, label, support): verified templates; hits is (doc_id, text_key, word, place), each once."""
+def match_templates(hits: DataFrame, n_docs: int, templates=None, cover: float = COVER) -> DataFrame:
+    """(doc_id, text_key, label, support): verified templates; hits is (doc_id, text_key, word, place), each once.
+
+    All words of a file that the templates have are looked up, so that each template of a file with many is found.
+    """
     spark = hits.sparkSession
     index = postings(spark, templates)
     idf = hits.groupBy("word").agg(F.log(1 + F.lit(float(n_docs)) / F.count_distinct(F.struct("doc_id", "text_key"))).alias("weight"))
     of_file = ["doc_id", "text_key"]
     rare = hits.join(F.broadcast(index.filter("rare").select("word").distinct()), "word").join(F.broadcast(idf), "word")  # at most the templates' words
-    best = rare.withColumn("nth", F.dense_rank().over(W.partitionBy(*of_file).orderBy(F.desc("weight"), "word"))).filter(F.col("nth") <= rarest)
     # a template's weight; words that the corpus lacks weigh as if one file had them
     weights = index.filter("rare").join(idf, "word", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + n_docs))))
     whole = weights.groupBy("template").agg(F.sum("weight").alias("total"))
-    met = best.join(F.broadcast(index.filter("rare").select("template", "label", "word", F.col("place").alias("at"))), "word").withColumn("shift", F.col("place") - F.col("at"))
+    met = rare.join(F.broadcast(index.filter("rare").select("template", "label", "word", F.col("place").alias("at"))), "word").withColumn("shift", F.col("place") - F.col("at"))
     placed = met.groupBy(*of_file, "template", "label", "shift").agg(F.sum("weight").alias("got"))
     likely = placed.join(F.broadcast(whole), "template").withColumn("support", F.least(F.col("got") / F.col("total"), F.lit(1.0))).filter(F.col("support") >= cover)
     keys = index.filter("key").select("template", "word", F.col("place").alias("at"))

@@ -165,6 +165,17 @@ def test_licenses(spark, none):
     assert licenses.scan(none).collect() == []
 
 
+def test_all_licenses_of_a_file(spark):
+    texts = [text for _, text, _ in licenses.TEMPLATES]
+    many = ["apache-2.0", "bsd", "isc", "mit", "mpl-2.0"]
+    some = [text for label, text, _ in licenses.TEMPLATES if label in many]
+    rows = [(0, "\n\n".join(texts)), (1, "\n\n".join(some)), *((10 + i, t) for i, t in enumerate(texts * 3)), *((100 + i, f"plain prose {i}") for i in range(200))]
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # "cc by" and "general public license" are phrases as well
+    assert labels[0] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES} | {"cc-by", "gpl"}))
+    assert labels[1] == ",".join(many)
+
+
 def test_html_of_all_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op8_html(spark, SF).collect():
