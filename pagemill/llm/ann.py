@@ -4,7 +4,8 @@ Each vector is represented by the order in which it sees a fixed set of
 pivots, nearest first. It is posted in the inverted files of its nearest
 pivots. A query takes the entries of its own nearest pivots' files, ranks them
 by the footrule distance between the permutations (the sum of the differences
-of the pivots' ranks), and the best of them are reranked by the true distance.
+of the pivots' ranks), and the best of them, with all whose permutation is
+nearly the query's, are reranked by the true distance.
 
 The index is a table of blocks; each block holds about BLOCK vectors with
 their permutations and the inverted files over them. Every block is searched
@@ -27,6 +28,9 @@ PIVOTS, POSTED, PROBED, BLOCK, PACK = 128, 16, 32, 8192, 512
 #: Of each inverted file that a query probes, this share is reranked, LEAST at least. By file, as a crowd of nearly equal
 #: vectors, which are all in the same files, would else fill the shortlist.
 RERANK, LEAST = 0.25, 64
+#: And all entries that a query's permutation differs from by this share of the pivots' squared number at most (chance: a third):
+#: the permutations of nearly equal vectors don't tell which is nearest.
+CLOSE = 1 / 16
 #: The pivots are drawn from this many vectors, those with the smallest hashes of vec_id.
 SAMPLE = 1024
 
@@ -55,9 +59,19 @@ def matrix(column, n: int) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Distinct vectors of a bounded sample, in the order of their hashes."""
+    """Vectors of a bounded sample that lie apart: the one of the smallest hash, then always the farthest from those chosen.
+
+    So a crowd of nearly equal vectors gets one pivot or few, however many of the rows it has.
+    """
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    return np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in rows))[:pivots], dtype=np.float64)
+    x = np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in rows)), dtype=np.float64)
+    chosen, away = [0] if len(x) else [], np.full(len(x), np.inf)
+    while 0 < len(chosen) < min(pivots, len(x)):
+        d = x - x[chosen[-1]]
+        away = np.minimum(away, (d * d).sum(axis=1))
+        away[chosen] = -1
+        chosen.append(int(away.argmax()))
+    return x[chosen]
 
 
 def ranks_of(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +119,7 @@ def search_block(q_ids, q, ids, first, x, ranks, begins, entries, pivots, k, pro
         for entry in lists:
             n = max(least, int(np.ceil(rerank * len(entry))))
             found[entry[np.argsort(footrule[entry], kind="stable")[:n]] if n < len(entry) else entry] = True
+        found[rows[footrule[rows] <= CLOSE * len(pivots) ** 2]] = True
         rows = np.flatnonzero(found)
         d = x[rows] - q[i]
         d = np.sqrt((d * d).sum(axis=1))

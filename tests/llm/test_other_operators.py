@@ -236,6 +236,24 @@ def test_nearest(spark):
     assert recall >= 0.9
 
 
+def test_nearest_beside_a_crowd(spark):
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], dtype=float)
+    rng = np.random.default_rng(1)
+    crowd = rng.permutation(len(x))[: len(x) // 3]
+    x[crowd] = x[0] + rng.normal(size=(len(crowd), x.shape[1])) * 0.001
+    ask = rng.permutation(len(x))[:200]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(vectors, vectors.filter(vectors["vec_id"].isin(ask.tolist()))).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    d = np.linalg.norm(x[ask][:, None] - x[None], axis=2)
+    d[np.arange(len(ask)), ask] = np.inf
+    recall = np.array([len(got[q] & set(np.argsort(d[i], kind="stable")[:10].tolist())) / 10 for i, q in enumerate(ask.tolist())])
+    inside = np.isin(ask, crowd)
+    print("recall outside", recall[~inside].mean(), "inside", recall[inside].mean())
+    assert recall[~inside].mean() >= 0.95 and recall[inside].mean() >= 0.95
+
+
 def test_nearest_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 0.0]), (None, [1.0, 1.0])]
