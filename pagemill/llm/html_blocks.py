@@ -12,8 +12,12 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)\b
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Element names of the HTML standard by how they are parsed.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture nobr".split())
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+INLINE |= MATH
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas select button xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg annotation annotation-xml object canvas select button xmp noembed noframes".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -116,7 +120,7 @@ def blocks(html: str) -> list[Block]:
                 at = end.end() if end else n if tag in ("script", "style") else at
             text.append(" ")
             continue
-        if tag == "br":
+        if tag in ("br", "mtr", "mtd"):
             text.append(" ")
             continue
         groups = groups_of(attributes) if attributes.strip() else frozenset()

@@ -198,6 +198,13 @@ def test_html_on_unseen_layouts():
     assert html_extract.main_text(field, page) == "Title & more\nFirst bold text here.\nSecond <p> A.\nOne\nTwo"
 
 
+def test_html_keeps_formulas():
+    formula = '<math display="inline"><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>'
+    got = blocks(f"<article><p>where {formula} holds</p><p>and <math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math> stays</p><svg><title>x</title></svg></article>")
+    assert [b.text for b in got] == ["where E=mc2 holds", "and 1 0 stays"]
+    assert [[tag for tag, _ in b.path] for b in got] == [["article", "p"]] * 2
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, None, "u", "x"), (2, "", None, None), (3, "plain words only", "u", "x"), (4, "<p>a < b && c <!-- never closed", "u", "x"), (5, "<div " + "<p>" * 2000 + "deep" + '<a href="x', "u", "x"), (5, "<article>" + "<p>many words</p>" * 30_000, "u", "x")]
     df = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
