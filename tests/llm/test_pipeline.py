@@ -99,3 +99,24 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clashing, SF).columns == clashing.columns, name
         stage(spark, clashing, SF).collect()
+
+
+def test_near_dedup_finds_texts_of_high_resemblance(spark):
+    rng = np.random.default_rng(3)
+    rows, pairs = [], []
+    for i in range(300):
+        one = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(100, 600)))]
+        other = list(one)
+        for at in rng.choice(len(one), max(1, int(len(one) * rng.uniform(0.002, 0.05))), replace=False):
+            other[at] = f"n{rng.integers(0, 5000)}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (one, other))
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i + 1, len(a & b) / len(a | b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        mine = [i for i, r in pairs if low <= r < high]
+        print(f"resemblance {low}-{high}: {sum(i not in kept for i in mine)} of {len(mine)} found")
+    assert sum(0.8 <= r < 0.95 for _, r in pairs) > 50
+    assert not [i for i, r in pairs if r >= 0.8 and i in kept]
+    assert all(2 * i in kept for i in range(300))
