@@ -1,18 +1,22 @@
 """Licence scans by a positional index of rare tokens, with DataFrame functions only.
 
-A file's licence words are looked up in an index of template postings. All of
-them that the templates have, weighed by IDF over the whole corpus, are intersected with the
-postings by relative position: pairs of a place in the file and a place in a
-template with the same difference lie on one placement of the template. A
-placement that covers enough of the template's weight is a candidate, and
-holds if the template's mandatory key phrase stands at exactly its places.
+Templates are licence notices and the paragraphs of licence bodies; a plain
+phrase is a template that is all key phrase. The index posts each template's
+words of highest IDF over the whole corpus, with their places. A file's licence
+words are looked up there and the postings intersected by relative position:
+pairs of a place in the file and a place in a template with the same difference
+lie on one placement of the template. A placement that covers enough of the
+posted weight is a candidate, and holds if the template's mandatory key phrase
+stands at exactly its places. What is bounded is the index of a template, never
+the words of a file, so a file may hold any number of licences.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -36,13 +40,26 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla public license"),
     ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu affero general public license as published by the free software foundation"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache org licenses license 2 0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", "without warranties or conditions of any kind"),
+    ("boost-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software", "software and accompanying documentation covered by this license"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "this list of conditions and the following disclaimer"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "either version 2 of the license"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "either version 3 of the license"),
+    ("isc", "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE", "negligence or other tortious action"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser general public license"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "this permission notice shall be included in all copies"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "copy of the mpl was not distributed with this file"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 ]
 #: Words that templates have but that say little; they are indexed only where a key phrase has them.
-PLAIN = frozenset("a any and are by for form in is of on or the this to under use with without work made code".split())
-#: Words of a file that the SQL twin looks up (the operator looks up all), and the share of a template's weight that a placement must cover.
-RAREST, COVER = 16, 0.5
+PLAIN = frozenset("a an any and as at be by can for form from if in is it its may of on one or other the this to under use was with without work made code you will".split())
+#: Words of highest IDF that the index posts of a template, and the share of their weight that a placement must cover.
+POSTED, COVER = 24, 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LETTERS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def words_of(text: str) -> list[str]:
@@ -50,84 +67,70 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[0-9a-z]+", text.lower())
 
 
-def phrase_pattern(phrase: str) -> str:
-    return f"(?i)(?<!{LETTERS})" + SEPARATORS.join(words_of(phrase)) + f"(?!{LETTERS})"
-
-
-def posting_rows(templates=None) -> list[tuple]:
-    """(template, label, word, place, rare, key) of the index: as many as the templates have words."""
+def posting_rows(templates=None, phrases=None) -> list[tuple]:
+    """(template, label, base, word, place, rare, key) of the templates, then of the phrases (base): as many rows as they have words that count."""
+    listed = [(label, text, key, False) for label, text, key in (TEMPLATES if templates is None else templates)]
+    listed += [(label, text, text, True) for label, text in (PHRASES if phrases is None else phrases)]
     rows = []
-    for i, (label, text, key) in enumerate(TEMPLATES if templates is None else templates):
+    for i, (label, text, key, base) in enumerate(listed):
         words, need = words_of(text), words_of(key)
         at = next(j for j in range(len(words)) if words[j : j + len(need)] == need)
+        if all(w in PLAIN for w in words):
+            raise ValueError(f"no word of {text!r} tells it from any text")
         for place, word in enumerate(words):
             is_key = at <= place < at + len(need)
             if is_key or word not in PLAIN:
-                rows.append((i, label, word, place, word not in PLAIN, is_key))
+                rows.append((i, label, base, word, place, word not in PLAIN, is_key))
     return rows
 
 
-def postings(spark: SparkSession, templates=None) -> DataFrame:
-    return spark.createDataFrame(posting_rows(templates), "template int, label string, word string, place int, rare boolean, key boolean")
-
-
-def vocabulary(templates=None) -> list[str]:
-    """The words that make a file a candidate: no template and no phrase lacks one of them."""
-    rare = {w for _, text, _ in (TEMPLATES if templates is None else templates) for w in words_of(text) if w not in PLAIN}
-    return sorted(rare | {w for _, phrase in PHRASES for w in words_of(phrase) if w not in PLAIN})
+def reach(rows: list[tuple]) -> int:
+    """How far a plain word of a key phrase may stand from a rare word of its template."""
+    return max((min(abs(place - p) for t, _, _, _, p, rare, _ in rows if t == template and rare) for template, _, _, _, place, _, _ in rows), default=0)
 
 
-def places(docs: DataFrame, templates=None) -> DataFrame:
-    """(doc_id, text_key, n_words, counts, first_word, last_word, hits) for every row; the texts go no further.
+def places(docs: DataFrame, rows: list[tuple]) -> DataFrame:
+    """(doc_id, text_key, n_words, hits) for every row; the texts go no further.
 
-    counts has the number of places of each phrase of PHRASES; hits the
-    (word, place) pairs of the templates' words in files with any word of vocabulary().
+    hits are the (word, place) pairs of the index's rare words, and of plain
+    words that key phrases have, where a rare word is near enough to share one.
     """
-    listed = vocabulary(templates)
-    # in key phrases plain words count too
-    looked_up = sorted(set(listed) | {w for _, _, key in (TEMPLATES if templates is None else templates) for w in words_of(key)})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text.alias("text")).withColumn("words", F.split(F.lower("text"), SEPARATORS))
+    rare = sorted({r[3] for r in rows if r[5]})
+    plain = sorted({r[3] for r in rows if not r[5]})
+    near = reach(rows)
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), SEPARATORS).alias("words"))
     empty = lambda i: (F.get("words", i) == "").cast("long")
     only = F.size("words") == 1
     n = F.size("words") - empty(F.lit(0)) - F.when(only, 0).otherwise(empty(F.size("words") - 1))
-    seen = split.withColumn("n_words", n.cast("long")).withColumn("candidate", F.arrays_overlap("words", F.array(*map(F.lit, listed))))
-    patterns = [phrase_pattern(p) for _, p in PHRASES]
-    counts = F.when(F.col("candidate"), F.array(*(F.regexp_count("text", F.lit(p)).cast("long") for p in patterns))).otherwise(F.array(*[F.lit(0).cast("long")] * len(patterns)))
-    any_phrase = "(?:" + "|".join(patterns) + ")"
-    found = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) > 0
-    before = lambda lead: F.regexp_count(F.regexp_extract("text", f"(?s)^({lead}){any_phrase}", 1), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), (i.cast("long") - empty(F.lit(0))).alias("place"))), lambda x: F.array_contains(F.array(*map(F.lit, looked_up)), x["word"]))
-    none = F.array().cast("array<struct<word:string,place:bigint>>")
-    return seen.withColumn("counts", counts).select(
-        "doc_id", "text_key", "n_words", "counts", F.when(found, before(".*?")).alias("first_word"), F.when(found, before(".*")).alias("last_word"),
-        F.when(F.col("candidate"), hits).otherwise(none).alias("hits"),
-    )
-
+    seen = split.withColumn("n_words", n.cast("long"))
+    beside = lambda i: F.exists(F.slice("words", F.greatest(i - near, F.lit(0)) + 1, F.lit(2 * near + 1)), lambda w: w.isin(rare))
+    tells = lambda w, i: w.isin(rare) | (w.isin(plain) & beside(i)) if plain else w.isin(rare)
+    marked = F.transform("words", lambda w, i: F.when(tells(w, i), F.struct(w.alias("word"), (i.cast("long") - empty(F.lit(0))).alias("place"))))
+    return seen.select("doc_id", "text_key", "n_words", F.array_compact(marked).alias("hits"))
 
-def match_templates(hits: DataFrame, n_docs: int, templates=None, cover: float = COVER) -> DataFrame:
-    """(doc_id, text_key, label, support): verified templates; hits is (doc_id, text_key, word, place), each once.
 
-    All words of a file that the templates have are looked up, so that each template of a file with many is found.
-    """
+def placements(hits: DataFrame, n_docs: int, rows: list[tuple], cover: float = COVER, posted: int = POSTED) -> DataFrame:
+    """(doc_id, text_key, template, label, base, shift, support): the verified places of templates and phrases; hits is (doc_id, text_key, word, place), each once."""
     spark = hits.sparkSession
-    index = postings(spark, templates)
-    idf = hits.groupBy("word").agg(F.log(1 + F.lit(float(n_docs)) / F.count_distinct(F.struct("doc_id", "text_key"))).alias("weight"))
+    listed = spark.createDataFrame(rows, "template int, label string, base boolean, word string, place int, rare boolean, key boolean")
+    found = hits.groupBy("word").agg(F.log(1 + F.lit(float(n_docs)) / F.count_distinct(F.struct("doc_id", "text_key"))).alias("weight"))
+    # words that the corpus lacks weigh as if one file had them
+    idf = listed.filter("rare").select("word").distinct().join(found, "word", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + n_docs))))
+    best = W.partitionBy("template").orderBy(F.desc("weight"), "word", "place")  # over a template's words
+    index = listed.filter("rare").join(idf, "word").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= posted)
+    index = cut(index.select("template", "label", "base", "word", F.col("place").alias("at"), "weight"))  # no more rows than the templates have words
+    whole = index.groupBy("template").agg(F.sum("weight").alias("total"))
     of_file = ["doc_id", "text_key"]
-    rare = hits.join(F.broadcast(index.filter("rare").select("word").distinct()), "word").join(F.broadcast(idf), "word")  # at most the templates' words
-    # a template's weight; words that the corpus lacks weigh as if one file had them
-    weights = index.filter("rare").join(idf, "word", "left").withColumn("weight", F.coalesce("weight", F.log(F.lit(1.0 + n_docs))))
-    whole = weights.groupBy("template").agg(F.sum("weight").alias("total"))
-    met = rare.join(F.broadcast(index.filter("rare").select("template", "label", "word", F.col("place").alias("at"))), "word").withColumn("shift", F.col("place") - F.col("at"))
-    placed = met.groupBy(*of_file, "template", "label", "shift").agg(F.sum("weight").alias("got"))
+    met = hits.join(F.broadcast(index), "word").withColumn("shift", F.col("place") - F.col("at"))
+    placed = met.groupBy(*of_file, "template", "label", "base", "shift").agg(F.sum("weight").alias("got"))
     likely = placed.join(F.broadcast(whole), "template").withColumn("support", F.least(F.col("got") / F.col("total"), F.lit(1.0))).filter(F.col("support") >= cover)
-    keys = index.filter("key").select("template", "word", F.col("place").alias("at"))
+    keys = listed.filter("key").select("template", "word", F.col("place").alias("at"))
     need = keys.groupBy("template").agg(F.count("*").alias("need"))
     wanted = likely.join(F.broadcast(keys), "template").withColumn("place", F.col("shift") + F.col("at"))
     h, q = hits.alias("h"), wanted.alias("q")
     same = F.col("h.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("h.text_key") == F.col("q.text_key")) & (F.col("h.word") == F.col("q.word")) & (F.col("h.place") == F.col("q.place"))
-    there = q.join(h, same, "left_semi").groupBy(*of_file, "template", "label", "shift", "support").agg(F.count("*").alias("have"))
-    return there.join(F.broadcast(need), ["template"]).filter("have = need").groupBy(*of_file, "label").agg(F.max("support").alias("support"))
+    there = q.join(h, same, "left_semi").groupBy(*of_file, "template", "label", "base", "shift", "support").agg(F.count("*").alias("have"))
+    return there.join(F.broadcast(need), ["template"]).filter("have = need").drop("have", "need")
 
 
 def scan(docs: DataFrame, templates=None) -> DataFrame:
@@ -137,21 +140,25 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     counts the places of the phrases; first_word and last_word are the smallest
     and largest start of one, null without any. base_labels are the phrases'
     labels, labels also those of verified templates, distinct, sorted and
-    comma-joined. score is 1 with a phrase, else the largest share of a
-    verified template's weight that stands in its place, else 0. A null text counts as
-    empty: no words, no labels. Repeated rows stay; an empty table gives no
+    comma-joined. score is the largest share of a verified phrase's or
+    template's posted weight that stands in its place (1 with a phrase, which is
+    whole), else 0. A null text counts as empty: no words, no labels. A file may
+    hold any number of licences. Repeated rows stay; an empty table gives no
     rows; other columns play no part.
     """
-    seen = cut(places(docs, templates))
+    rows = posting_rows(templates)
+    seen = cut(places(docs, rows))
     hits = cut(seen.filter(F.size("hits") > 0).select("doc_id", "text_key", F.explode("hits").alias("x")).select("doc_id", "text_key", "x.word", "x.place").distinct())
-    matched = match_templates(hits, seen.count(), templates)
-    by_file = matched.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("support").alias("support"))
+    found = placements(hits, seen.count(), rows)
+    start = F.when(F.col("base"), F.col("shift"))
+    by_file = found.groupBy("doc_id", "text_key").agg(
+        F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
+        F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"), F.collect_set("label").alias("labels"), F.max("support").alias("support"),
+    )
     s, m = seen.alias("s"), by_file.alias("m")
-    met = s.join(m, F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_key") == F.col("m.text_key")), "left").select("s.*", "m.more", "m.support")
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    base = F.array_sort(F.array_compact(F.array(*(F.when(F.get("counts", F.lit(i)) > 0, F.lit(label)) for i, (label, _) in enumerate(PHRASES)))))
-    every = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("more", F.array().cast("array<string>")))))
+    met = s.join(m, F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_key") == F.col("m.text_key")), "left")
+    listed = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return met.select(
-        "doc_id", "n_words", total.alias("n_base"), "first_word", "last_word", F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.when(total > 0, F.lit(1.0)).otherwise(F.round(F.coalesce("support", F.lit(0.0)), 6)).alias("score"),
+        "s.doc_id", "s.n_words", F.coalesce("m.n_base", F.lit(0).cast("long")).alias("n_base"), "m.first_word", "m.last_word",
+        listed("m.base_labels").alias("base_labels"), listed("m.labels").alias("labels"), F.round(F.coalesce("m.support", F.lit(0.0)), 6).alias("score"),
     )

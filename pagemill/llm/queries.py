@@ -153,7 +153,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spread_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-_POSTINGS = ", ".join(f"({t}, '{label}', '{word}', {place}, {rare}, {key})" for t, label, word, place, rare, key in licenses.posting_rows())
+_POSTINGS = ", ".join(f"({t}, '{label}', {base}, '{word}', {place}, {rare}, {key})" for t, label, base, word, place, rare, key in licenses.posting_rows())
 
 
 def _phrase_sql(label: str, phrase: str) -> str:
@@ -165,20 +165,21 @@ def _phrase_sql(label: str, phrase: str) -> str:
 SQL["op7_licenses"] = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
-), p(template, label, word, place, rare, is_key) AS (VALUES {_POSTINGS}
+), p(template, label, base, word, place, rare, is_key) AS (VALUES {_POSTINGS}
 ), w AS (
-  SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM d) WHERE word IN (SELECT word FROM p) OR word IN ('cc', 'by', 'general', 'public', 'license', 'all', 'rights', 'reserved')
-), base AS (
+  SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM d) WHERE word IN (SELECT word FROM p)
+), phrases AS (
   {" UNION ALL ".join(_phrase_sql(label, phrase) for label, phrase in licenses.PHRASES)}
 ), n AS (SELECT count(*)::DOUBLE AS n FROM d
 ), idf AS (
-  SELECT word, ln(1 + n / df) AS weight FROM (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM p WHERE rare) GROUP BY 1), n
-), best AS (
-  SELECT * FROM (SELECT doc_id, word, pos, weight, dense_rank() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS nth FROM w JOIN idf USING (word)) WHERE nth <= {licenses.RAREST}
+  SELECT word, ln(1 + n / greatest(df, 1)) AS weight FROM (SELECT p.word, count(DISTINCT w.doc_id) AS df FROM p LEFT JOIN w USING (word) WHERE rare GROUP BY 1), n
+), posted AS (
+  SELECT template, label, word, place, weight FROM p JOIN idf USING (word) WHERE rare AND NOT base
+  QUALIFY row_number() OVER (PARTITION BY template ORDER BY weight DESC, word, place) <= {licenses.POSTED}
 ), whole AS (
-  SELECT template, sum(coalesce(weight, ln(1 + n))) AS total FROM p LEFT JOIN idf USING (word), n WHERE rare GROUP BY 1
+  SELECT template, sum(weight) AS total FROM posted GROUP BY 1
 ), placed AS (
-  SELECT doc_id, template, any_value(label) AS label, pos - place AS shift, sum(weight) AS got FROM best JOIN p USING (word) WHERE rare GROUP BY doc_id, template, pos - place
+  SELECT w.doc_id, template, any_value(label) AS label, pos - place AS shift, sum(weight) AS got FROM w JOIN posted USING (word) GROUP BY w.doc_id, template, pos - place
 ), likely AS (
   SELECT *, least(got / total, 1.0) AS support FROM placed JOIN whole USING (template) WHERE got / total >= {licenses.COVER}
 ), need AS (SELECT template, count(*) AS need FROM p WHERE is_key GROUP BY 1
@@ -187,7 +188,7 @@ WITH d AS (
     SELECT l.doc_id, l.template, l.label, l.shift, l.support, count(*) AS have FROM likely l JOIN p k ON k.template = l.template AND k.is_key
     JOIN w ON w.doc_id = l.doc_id AND w.word = k.word AND w.pos = l.shift + k.place GROUP BY 1, 2, 3, 4, 5) JOIN need USING (template) WHERE have = need
 ), found AS (
-  SELECT doc_id, label, 1.0 AS support, pos FROM base UNION ALL SELECT doc_id, label, support, NULL FROM sure
+  SELECT doc_id, label, 1.0 AS support, pos FROM phrases UNION ALL SELECT doc_id, label, support, NULL FROM sure
 ), by_doc AS (
   SELECT doc_id, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT CASE WHEN pos IS NOT NULL THEN label END, ',' ORDER BY CASE WHEN pos IS NOT NULL THEN label END) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(support) AS support FROM found GROUP BY 1

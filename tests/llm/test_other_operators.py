@@ -1,5 +1,7 @@
 """Sharding, mixing, licences, HTML and nearest neighbours against brute force, and on odd tables."""
 
+import math
+import random
 import re
 from collections import Counter, defaultdict
 from html import unescape
@@ -176,6 +178,48 @@ def test_all_licenses_of_a_file(spark):
     assert labels[1] == ",".join(many)
 
 
+def brute_licenses(texts, templates, phrases, posted, cover):
+    """Labels and score of each text, by trying every template at every place."""
+    listed = [(label, text, key) for label, text, key in templates] + [(label, text, text) for label, text in phrases]
+    files = [re.findall(r"[0-9a-z]+", t.lower()) for t in texts]
+    weight = lambda w: math.log(1 + len(files) / max(1, sum(w in f for f in files)))
+    out = []
+    for words in files:
+        found = []
+        for label, text, key in listed:
+            mine, need = licenses.words_of(text), licenses.words_of(key)
+            at = next(i for i in range(len(mine)) if mine[i : i + len(need)] == need)
+            best = sorted(((-weight(w), w, i) for i, w in enumerate(mine) if w not in licenses.PLAIN))[:posted]
+            total = sum(-x for x, _, _ in best)
+            for shift in range(-len(mine), len(words)):
+                stands = lambda i, w, shift=shift: 0 <= shift + i < len(words) and words[shift + i] == w
+                got = sum(-x for x, w, i in best if stands(i, w))
+                if got / total >= cover and all(stands(at + i, w) for i, w in enumerate(need)):
+                    found.append((label, min(1, got / total)))
+        out.append((",".join(sorted({x for x, _ in found})), round(max((x for _, x in found), default=0.0), 6)))
+    return out
+
+
+def test_licenses_equal_a_matcher_that_tries_every_place(spark):
+    r = random.Random(4)
+    lines = [t for _, t, _ in licenses.TEMPLATES]
+    texts = ["\n\n".join(lines), "no licence at all", "by cc by rights reserved all rights reserved"]
+    for i in range(60):
+        parts = []
+        for line in r.sample(lines, r.randint(1, 4)):
+            words = line.split()
+            for _ in range(r.randint(0, len(words) // 3)):  # words that are changed or lost
+                j = r.randrange(len(words))
+                words[j : j + 1] = r.choice([[], ["other"], ["software"], [words[j], "the"]])
+            parts.append(" ".join(words) + f" w{i}")
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["labels"], x["score"]) for x in licenses.scan(df).collect()}
+    expected = brute_licenses(texts, licenses.TEMPLATES, licenses.PHRASES, licenses.POSTED, licenses.COVER)
+    assert [got[i] for i in range(len(texts))] == expected
+    assert len({x for x, _ in expected}) > 20 and any(0 < s < 1 for _, s in expected)
+
+
 def test_html_of_all_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op8_html(spark, SF).collect():
