@@ -15,17 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import fresh, in_slices, widened
-from .html_blocks import GROUPS, Block, blocks
+from .html_blocks import GROUPS, KNOWN, MAYBE, Block, Node, blocks
 from .html_training import MAIN, OTHER, labelled_pages
 
 #: Parameters of the fit: labelled pages, steps, step size and the weights' prior.
 PAGES, STEPS, RATE, PRIOR = 600, 150, 0.2, 1e-4
-TAGS = "article main section nav header footer aside form table ul ol dl blockquote figure pre details dialog address fieldset p h1 h2 h3 h4 h5 h6 li td th dd div center figcaption label".split()
+TAGS = sorted(KNOWN - {"html", "body"})
 LENGTHS, LINKS = (3, 10, 25, 60), (0.01, 0.34, 0.67)
 NAMES = (
     [f"in {t}" for t in TAGS]
     + [f"leaf {t}" for t in TAGS]
     + [f"says {g}" for g in [*GROUPS, "hidden"]]
+    + [f"{where} hints {g}" for where in ("leaf", "above") for g in GROUPS]
     + ["article or main", "no article or main", "clean", "clean in article", "heading in core", "noise in core", "bare body"]
     + [f"words up to {n}" for n in LENGTHS]
     + [f"links from {x}" for x in LINKS]
@@ -33,18 +34,15 @@ NAMES = (
 )
 INDEX = {name: i for i, name in enumerate(NAMES)}
 AWAY = ("menu", "advert", "comment", "side", "foot", "notice", "share", "form", "hidden")
-AWAY_TAGS = frozenset("nav footer aside form dialog".split())
+AWAY_TAGS = frozenset("nav footer aside form dialog button".split())
 
 
 @lru_cache(maxsize=20_000)
-def path_features(path: tuple) -> tuple[int, ...]:
+def path_features(tags: frozenset[str], says: frozenset[str], hints: frozenset[str], above: frozenset[str], leaf: str) -> tuple[int, ...]:
     """What a block's ancestors tell."""
-    tags = {tag for tag, _ in path}
-    says = set().union(*(groups for _, groups in path))
-    leaf = path[-1][0] if path else "body"
     core = bool(tags & {"article", "main"})
     noise = bool(tags & AWAY_TAGS or says & set(AWAY)) or ("head" in says and not core) or "header" in tags
-    out = [f"in {t}" for t in TAGS if t in tags] + [f"says {g}" for g in says]
+    out = [f"in {t}" for t in TAGS if t in tags] + [f"says {g}" for g in says] + [f"leaf hints {g}" for g in hints] + [f"above hints {g}" for g in above]
     if leaf in TAGS:
         out.append(f"leaf {leaf}")
     out.append("article or main" if core else "no article or main")
@@ -59,22 +57,27 @@ def path_features(path: tuple) -> tuple[int, ...]:
     return tuple(INDEX[x] for x in out)
 
 
+def in_core(node: Node) -> bool:
+    return bool({"article", "main"} & node.tags)
+
+
 def features(page: list[Block]) -> np.ndarray:
     """Blocks x features, 0 or 1."""
     x = np.zeros((len(page), len(NAMES)), dtype=np.float32)
-    core = any({"article", "main"} & {t for t, _ in b.path} for b in page)
+    core = any(in_core(b.node) for b in page)
     h1 = False
     for i, b in enumerate(page):
-        on = list(path_features(b.path))
+        at = b.node
+        on = list(path_features(at.tags, at.says, at.hints, at.above, at.tag or "body"))
         words = b.text.count(" ") + 1
         on += [INDEX[f"words up to {n}"] for n in LENGTHS if words <= n]
         on += [INDEX[f"links from {s}"] for s in LINKS if b.linked >= s * len(b.text)]
         end = b.text[-1]
         on += [INDEX["bias"]] + [INDEX["ends a sentence"]] * (end in ".!?…。！？") + [INDEX["copyright"]] * ("©" in b.text[:40]) + [INDEX["separators"]] * (" | " in b.text or " · " in b.text)
         on += [INDEX["after h1"]] * h1 + [INDEX["first tenth"]] * (10 * i < len(page)) + [INDEX["last tenth"]] * (10 * (i + 1) > 9 * len(page))
-        if core and not {"article", "main"} & {t for t, _ in b.path}:
+        if core and not in_core(at):
             on.append(INDEX["article elsewhere"])
-        h1 = h1 or bool(b.path and b.path[-1][0] == "h1")
+        h1 = h1 or at.tag == "h1"
         x[i, on] = 1
     return x
 
@@ -180,7 +183,9 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     A null or empty html, and a page without main blocks, has an empty text. Broken
     markup is read as browsers read it as far as blocks go: unclosed elements
-    end with their parents, unknown ones count as blocks. All columns of pages
+    end with their parents, unknown ones count as blocks, ends without a begin
+    are ignored, and a tag that the page's end cuts off is dropped; the time is
+    linear in the page. All columns of pages
     (with html) stay; where pages has a column of a new one's name, the new one's
     is lengthened by underscores (common.fresh).
     """

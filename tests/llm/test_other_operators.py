@@ -246,7 +246,7 @@ def test_html_keeps_formulas():
     formula = '<math display="inline"><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>'
     got = blocks(f"<article><p>where {formula} holds</p><p>and <math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math> stays</p><svg><title>x</title></svg></article>")
     assert [b.text for b in got] == ["where E=mc2 holds", "and 1 0 stays"]
-    assert [[tag for tag, _ in b.path] for b in got] == [["article", "p"]] * 2
+    assert [(b.node.tag, b.node.tags) for b in got] == [("p", {"article", "p"})] * 2
 
 
 def test_html_of_odd_rows(spark):
