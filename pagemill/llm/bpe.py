@@ -17,6 +17,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -73,23 +74,44 @@ class Tokenizer:
         self.shown = pa.array(shown, pa.string())
 
     def merge(self, word: bytes) -> list[int]:
-        """The exact merges of one pre-token: the pair of least rank first, the leftmost of equals."""
+        """The exact merges of one pre-token: the pair of least rank first, the leftmost of equals.
+
+        Pairs wait in a heap, by rank and place; symbols are linked to their
+        neighbours, so a word of n bytes takes n log n steps. A pair that a merge has
+        changed is known by its rank when its turn comes.
+        """
         ids = [self.inner[b] for b in word[:-1]] + [self.last[b] for b in word[-1:]]
         ids = [i for i in ids if i is not None]
-        get, made, none = self.ranks.get, self.made, len(self.made)
-        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            new = ids[i] = made[best]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | new, none)
-            if i < len(ranks):
-                ranks[i] = get(new << 32 | ids[i + 1], none)
-        return ids
+        n, get, made = len(ids), self.ranks.get, self.made
+        ranks = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # of the pair that begins here; -1: none
+        waiting = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
+        if not waiting:
+            return ids
+        heapify(waiting)
+        ranks.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while waiting:
+            first = heappop(waiting)
+            rank, i = first >> 32, first & 0xFFFFFFFF
+            if ranks[i] != rank:
+                continue
+            gone = after[i]
+            new = ids[i] = made[rank]
+            ids[gone], ranks[gone] = -1, -1
+            after[i] = right = after[gone]
+            if right < n:
+                before[right] = i
+                ranks[i] = r = get(new << 32 | ids[right], -1)
+                if r >= 0:
+                    heappush(waiting, r << 32 | i)
+            else:
+                ranks[i] = -1
+            left = before[i]
+            if left >= 0:
+                ranks[left] = r = get(ids[left] << 32 | new, -1)
+                if r >= 0:
+                    heappush(waiting, r << 32 | left)
+        return [i for i in ids if i >= 0]
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
