@@ -24,6 +24,8 @@ SMOOTH, SWITCH, RULED_OUT = 0.1, 12.0, -50.0
 TRAIN_DOCS = 20_000
 #: Texts are worked on in slices of at most this many bytes (or one text); a letter takes about 30 bytes meanwhile.
 SLICE = 2 << 20
+#: Words of a text that are labelled one after the other; the parts of a longer text advance side by side.
+PART = 1024
 #: A language is a candidate for the scripts that hold at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 # First code points of script ranges and the scripts' names, after Unicode's blocks.
@@ -102,40 +104,85 @@ class Model:
         return out
 
     def labels(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The best path's language for each word; all texts advance together, the long ones longest."""
-        out = np.zeros(len(scores), dtype=np.int16)
+        """The best path's language for each word.
+
+        Texts advance together, in parts of PART words at most. What a part does
+        to each language it may begin with is found first; this tells the scores that
+        each part of a long text begins with and the language that it ends in.
+        """
         begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
+        pieces = -(-counts // PART)
+        text = np.repeat(np.arange(len(counts)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = begin[text] + nth * PART
+        sizes = np.minimum(PART, counts[text] - nth * PART)
+        starts, ends = np.zeros((len(text), len(self.langs)), dtype=np.float32), np.full(len(text), -1)
+        many = np.flatnonzero(pieces[text] > 1)
+        if len(many):
+            through = self.effects(scores, at[many], sizes[many])
+            bounds = np.flatnonzero(np.diff(text[many], prepend=-1))
+            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(many)], strict=True):
+                best, back = np.zeros(len(self.langs)), []
+                for i in range(lo, hi):
+                    starts[many[i]] = best - best.max()
+                    paths = best[:, None] + through[i]
+                    back.append(paths.argmax(axis=0))
+                    best = paths.max(axis=0)
+                state = int(best.argmax())
+                for i in range(hi - 1, lo - 1, -1):
+                    ends[many[i]] = state
+                    state = int(back[i - lo][state])
+        return self.decode(scores, at, sizes, starts, ends)
+
+    def effects(self, scores: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """parts x languages x languages: the best score of a part's words from each language before it to each at its end."""
+        order = np.argsort(-sizes, kind="stable")
+        at, sizes = at[order], sizes[order]
+        best = np.full((len(at), len(self.langs), len(self.langs)), -np.inf)
+        best[:, np.arange(len(self.langs)), np.arange(len(self.langs))] = 0
+        for t, n in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()):
+            part = best[:n]
+            np.maximum(part, part.max(axis=2, keepdims=True) - self.switch, out=part)
+            part += scores[at[:n] + t][:, None, :]
+        out = np.empty_like(best)
+        out[order] = best
+        return out
+
+    def decode(self, scores: np.ndarray, at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Viterbi over parts of the words, all at once: from the scores before each part, to the language it ends in (-1: the best)."""
+        out = np.zeros(len(scores), dtype=np.int16)
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
         if not len(order):
             return out
-        begin, counts = begin[order], counts[order]
-        live = np.searchsorted(-counts, -np.arange(counts[0]), side="left")  # texts with more than t words
-        best = np.zeros((len(order), len(self.langs)), dtype=np.float32)
+        at, sizes, best, ends = at[order], sizes[order], starts[order].copy(), ends[order]
+        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()  # parts with more than t words
         came = np.zeros(len(scores), dtype=np.int16)  # the best language before a switch to this word
         stays = np.zeros(scores.shape, dtype=bool)
-        for t, n in enumerate(live.tolist()):
-            rows = begin[:n] + t
-            if t:
-                top = best[:n].argmax(axis=1)
-                change = best[np.arange(n), top] - self.switch
-                came[rows] = top
-                stays[rows] = best[:n] >= change[:, None]
-                best[:n] = np.maximum(best[:n], change[:, None])
-                best[:n] -= best[:n].max(axis=1, keepdims=True)  # keeps float32 exact enough over long texts
+        for t, n in enumerate(live):
+            rows = at[:n] + t
+            top = best[:n].argmax(axis=1)
+            change = best[np.arange(n), top] - self.switch
+            came[rows] = top
+            stays[rows] = best[:n] >= change[:, None]
+            best[:n] = np.maximum(best[:n], change[:, None])
+            best[:n] -= best[:n].max(axis=1, keepdims=True)  # keeps float32 exact enough
             best[:n] += scores[rows]
-        state = best.argmax(axis=1)
+        state = np.where(ends < 0, best.argmax(axis=1), ends)
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
-            rows = begin[:n] + t
+            rows = at[:n] + t
             out[rows] = state[:n]
             state[:n] = np.where(stays[rows, state[:n]], state[:n], came[rows])
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
-        """Language, score and number of spans of each text. The score is the share of its letters that the language labels."""
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[int], list[float]]:
+        """Language, score, number of spans and known share of each text.
+
+        The score is the share of its letters that the language labels, the known share that of the letters that any language labels.
+        """
         if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts)
         words = Words(texts)
         scores = self.scores(words)
         labels = self.labels(scores, words.counts)
@@ -146,9 +193,10 @@ class Model:
         letters = np.bincount(text, weights=words.lengths, minlength=len(texts))
         best = np.where(by.any(axis=1), by.argmax(axis=1), self.common)
         share = by[np.arange(len(texts)), best] / np.maximum(1, letters)
+        every = by.sum(axis=1) / np.maximum(1, letters)
         switched = np.flatnonzero((labels[1:] != labels[:-1]) & (text[1:] == text[:-1])) + 1
         spans = np.bincount(text[switched], minlength=len(texts)) + (words.counts > 0)
-        return [self.langs[i] if n else UNKNOWN for i, n in zip(best.tolist(), letters.tolist(), strict=True)], share.tolist(), spans.tolist()
+        return [self.langs[i] if n else UNKNOWN for i, n in zip(best.tolist(), letters.tolist(), strict=True)], share.tolist(), spans.tolist(), every.tolist()
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(begin, end, language) of each run of words of one language, by the lowered text's code points."""
@@ -206,22 +254,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and n_spans, one row for each row of docs; every column of docs stays.
+    """docs with lang_pred, score, n_spans and known, one row for each row of docs; every column of docs stays.
 
     A text that is null or has no letter is `und` with score 0, as is every text
     if nothing was learned. A text whose letters are all of scripts that no
     learned language uses gets the most frequent language with score 0. Ties go
-    to the first language by name. Where docs has a column of a new one's name,
+    to the first language by name. known is the share of the letters that spans of
+    any learned language hold. Where docs has a column of a new one's name,
     the new one's is lengthened by underscores (common.fresh).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = fresh(docs.columns, "lang_pred", "score", "n_spans")
-    at, names, schema = docs.columns.index("text"), [*docs.columns, *added], widened(docs, added, "string", "double", "long")
+    added = fresh(docs.columns, "lang_pred", "score", "n_spans", "known")
+    at, names, schema = docs.columns.index("text"), [*docs.columns, *added], widened(docs, added, "string", "double", "long", "double")
 
     def run(batches):
         for whole in batches:
             for b in in_slices(whole, at, SLICE):
-                lang, score, spans = shared.value.predict([x.as_py() or "" for x in b.column(at)])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64())], names=names)
+                lang, score, spans, known = shared.value.predict([x.as_py() or "" for x in b.column(at)])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64()), pa.array(known, pa.float64())], names=names)
 
     return docs.mapInArrow(run, schema)

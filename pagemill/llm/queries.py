@@ -69,7 +69,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_documents(spark, sf_dir)
     model = langid.train(docs.filter(~langid.held_out()))
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_spans", "known")
 
 
 @query

@@ -48,8 +48,8 @@ def brute_mix(rows):
 def brute_pipeline(docs, model, library):
     kept = []
     for d in docs:
-        (lang,), (score,), _ = model.predict([d["text"] or ""])
-        if lang != "und" and score >= corpus_pipeline.LEAST_SCORE:
+        (lang,), _, _, (known,) = model.predict([d["text"] or ""])
+        if lang != "und" and known >= corpus_pipeline.LEAST_KNOWN:
             kept.append(dict(d) | {"lang": lang})
     dropped = {doc: (n, text) for _, doc, _, n, text in brute_lines([(d["doc_id"], d["text"]) for d in kept])}
     lines = []

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import time
 import struct
 
 import numpy as np
@@ -126,7 +127,7 @@ def test_language_of_odd_rows(spark, odd, none):
     nothing = langid.train(none)
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
     clash = langid.identify(odd.withColumnRenamed("key", "score"), model)
-    assert clash.columns[-3:] == ["lang_pred", "score_", "n_spans"] and clash.count() == len(ODD)
+    assert clash.columns[-4:] == ["lang_pred", "score_", "n_spans", "known"] and clash.count() == len(ODD)
 
 
 def test_viterbi_is_the_best_path_and_scripts_narrow():
@@ -148,6 +149,26 @@ def test_viterbi_is_the_best_path_and_scripts_narrow():
     model = langid.Model(langs, np.stack(counts, 1), np.stack(scripts, 1), np.ones(2))
     assert [x[2] for x in model.spans("that mat кошка ушла the cat sat")] == ["en", "ru", "en"]
     assert model.predict(["кот", "12", "日本"])[0] == ["ru", "und", "en"]
+    assert model.predict(["that mat кошка ушла", "cat 日本", "日本", ""])[3] == [1.0, 0.6, 0.0, 0.0]
+
+
+def test_long_texts_are_labelled_in_parts_as_in_one(monkeypatch):
+    r = np.random.default_rng(5)
+    model = langid.Model(list("abcd"), np.ones((langid.BINS, 4)), np.ones((len(langid.SCRIPT_NAMES), 4)), np.ones(4), switch=6.0)
+    counts = np.array([3, 0, 700, 64, 65, 1, 129, 500])
+    scores = r.integers(-5, 6, (counts.sum(), 4)).astype("f4") + r.random((counts.sum(), 4)).astype("f4") / 8
+    monkeypatch.setattr(langid, "PART", 1 << 40)
+    whole = model.labels(scores, counts)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(langid, "PART", part)
+        assert (model.labels(scores, counts) == whole).all()
+
+
+def test_languages_of_a_text_of_two_megabytes_take_seconds():
+    model = langid.Model(["a", "b"], np.random.default_rng(0).random((langid.BINS, 2)), np.ones((len(langid.SCRIPT_NAMES), 2)), np.ones(2))
+    begin = time.time()
+    assert model.predict(["some words of a text " * 100_000])[0] in (["a"], ["b"])
+    assert time.time() - begin < 10
 
 
 def brute_simhash(text, width=4):
@@ -316,6 +337,16 @@ def test_bpe_of_odd_texts(library):
     assert own.decode_many(ids, bounds).to_pylist() == [own.decode(own.encode(t)) for t in texts]
 
 
+def test_bpe_of_very_long_words(library):
+    own, r = bpe.Tokenizer(queries.tokenizer_path()), random.Random(6)
+    letters = "".join(r.choice("etaonishrdlu") for _ in range(1_000_000))
+    words = [letters, "a" * 100_000, "the" * 30_000, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30_000))]
+    words += ["".join(r.choice("aab") for _ in range(r.randint(65, 300))) for _ in range(200)]
+    begin = time.time()
+    assert [own.encode(w) for w in words] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert time.time() - begin < 60
+
+
 def test_bpe_of_odd_rows(odd, none, library):
     out = bpe.encode_documents(odd, queries.tokenizer_path(), words=3).collect()
     assert sorted(r["n_tokens"] for r in out) == sorted(len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in ODD)
