@@ -4,8 +4,9 @@ import hashlib
 import itertools
 import json
 import random
-import time
 import struct
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -266,17 +267,22 @@ def test_line_dedup(spark, docs, odd, none):
 def test_a_very_common_line_is_dealt_out(spark):
     rows = [(i, f"common to every document\nline of its own number {i}\npair line {i // 2} here") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    refs = linededup.line_refs(docs, 2)
-    tables = linededup.filter_shards(linededup.count_refs(refs)).cache()
-    drops = {tuple(r) for r in linededup.probe(refs, tables, task_rows=50).collect()}
-    assert drops == {tuple(r) for r in linededup.probe(refs, tables).collect()}
-    assert lines_of(linededup.drop_lines(docs, linededup.probe(refs, tables, task_rows=50))) == brute_lines(rows)
+    refs = linededup.line_refs(docs)
+    shared = linededup.count_refs(refs).filter("low <> high").cache()
+    assert shared.count() == 201
+    filters = linededup.build_filters(shared, 2).cache()
+    for rows_of_a_task in (50, 1000):
+        hits = linededup.probe(refs, filters, 2, rows_of_a_task)
+        assert 800 <= hits.count() < 850  # the filter spares the exact table lines of one document
+        drops = linededup.confirm(hits, shared, rows_of_a_task)
+        assert lines_of(linededup.drop_lines(docs, drops)) == brute_lines(rows)
 
 
 def test_line_store_can_be_undone(spark):
     rows = [(i, f"line number {i % 3} here\nunique line {i} there\ncommon to every document") for i in range(9)]
     frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
     store = linededup.LineStore(spark, shards=2)
+    assert lines_of(store.apply(frame(rows[:2]))) == lines_of(linededup.drop_lines(frame(rows[:2]), frame([]).selectExpr("doc_id", "doc_id h", "doc_id g")))
     store.add(frame(rows[:5]))
     store.add(frame(rows[5:]))
     assert lines_of(store.apply(frame(rows))) == brute_lines(rows)
@@ -290,6 +296,47 @@ def test_line_store_can_be_undone(spark):
     assert [r["refs"] for r in store.counts().collect()] == [1]
 
 
+def check_store(store, rows, spark):
+    """The store equals one that is built from rows: the exact table, and filters that hold the shared keys and no others."""
+    built = linededup.count_refs(linededup.line_refs(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(tuple(r) for r in store.counts().collect()) == Counter(tuple(r) for r in built.collect())
+    shared = [r["h"] for r in built.filter("low <> high").collect()]
+    filters = {r["shard"]: r for r in store.filters().collect()}
+    for shard, r in filters.items():
+        mine = np.array([h for h in shared if h % store.shards == shard], dtype=np.int64).view(np.uint64)
+        made = CuckooFilter.from_bytes(r["filter"])
+        assert made.contains(mine).all() and np.count_nonzero(made.table) == len(mine)
+    assert {h % store.shards for h in shared} <= set(filters)
+    assert sum(r["load"] for r in filters.values()) == sum(r["refs"] for r in built.filter("low <> high").collect())
+
+
+def test_line_store_writes_what_a_change_touches(spark):
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    r = random.Random(8)
+    rows = {i: f"own line of document {i}\n" + "\n".join(f"shared line {r.randrange(150)} of all" for _ in range(8)) for i in range(60)}
+    store = linededup.LineStore(spark, shards=16)
+    store.add(frame(list(rows.items())))
+    check_store(store, list(rows.items()), spark)
+    before = dict(store.where)
+    store.add(frame([(100, "a line that no other has\nnor this one, which is new")]))  # shares nothing: no filter is written
+    assert store.where == before
+    store.add(frame([(101, "a line that no other has")]))  # one key comes to be shared
+    assert sum(v == store.version for v in store.where.values()) == 1
+    rows |= {100: "a line that no other has\nnor this one, which is new", 101: "a line that no other has"}
+    check_store(store, list(rows.items()), spark)
+    again = linededup.LineStore.open(spark, store.path, shards=16)
+    assert (again.version, again.where) == (store.version, store.where)
+    gone = [100, 3, 4, 5, 6, 7, 999]
+    again.remove(frame([(i, None) for i in gone]))
+    rows = {i: t for i, t in rows.items() if i not in gone}
+    check_store(again, list(rows.items()), spark)
+    many = {i: "\n".join(f"pair line {j} for a full filter" for j in range(i % 2, 600, 2)) for i in range(200, 204)}
+    again.add(frame(list(many.items())))  # filters are full, and made anew
+    rows |= many
+    check_store(again, list(rows.items()), spark)
+    assert lines_of(again.apply(frame(list(rows.items())))) == brute_lines(list(rows.items()))
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(3)
     for n in (0, 1, 50, 5000):
