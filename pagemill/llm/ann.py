@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
 Each vector is represented by the order in which it sees a fixed set of
-pivots, nearest first. It is posted in the inverted files of its nearest
-pivots. A query takes the entries of its own nearest pivots' files, ranks them
-by the footrule distance between the permutations (the sum of the differences
-of the pivots' ranks), and the best of them, with all whose permutation is
-nearly the query's, are reranked by the true distance.
-
-The index is a table of blocks; each block holds about BLOCK vectors with
-their permutations and the inverted files over them. Every block is searched
-for every query, in packs of PACK queries. Equal vectors of a block are one
-entry with all their ids, so that a very common vector takes one place of a
-query's shortlist, and spreads over all blocks.
+pivots, nearest first, and posted in the inverted files of its nearest pivots.
+The files are one table keyed by pivot; a file of many entries is cut into
+blocks by a hash of vec_id. A query is joined to the files of its own nearest
+pivots only. There it ranks the entries by the footrule distance between
+the permutations (the sum of the differences of the pivots' ranks), and the best
+of them, with all whose permutation is nearly its own, are reranked by the true
+distance. An entry that several of the probed files hold is met in the one of them
+that is the entry's nearest pivot.
+
+What is shuffled is every vector as often as it is posted, and every query as
+often as it probes a block of a file. A task holds one block at a time, and queries are
+streamed past it. Equal vectors of a block are one entry with all their ids, so
+that a very common vector takes one place of a query's shortlist.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, partitions
 
-PIVOTS, POSTED, PROBED, BLOCK, PACK = 128, 16, 32, 8192, 512
-#: Of each inverted file that a query probes, this share is reranked, LEAST at least. By file, as a crowd of nearly equal
+#: The pivots, the files that a vector is posted to and that a query probes, and the entries of a block.
+PIVOTS, POSTED, PROBED, BLOCK = 128, 6, 28, 65_536
+#: Of each block that a query probes, this share is reranked, LEAST at least. By block, as a crowd of nearly equal
 #: vectors, which are all in the same files, would else fill the shortlist.
-RERANK, LEAST = 0.25, 64
+RERANK, LEAST = 0.2, 64
 #: And all entries that a query's permutation differs from by this share of the pivots' squared number at most (chance: a third):
 #: the permutations of nearly equal vectors don't tell which is nearest.
 CLOSE = 1 / 16
@@ -80,58 +84,69 @@ def ranks_of(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(d, axis=1, kind="stable")
     ranks = np.empty_like(order)
     np.put_along_axis(ranks, order, np.arange(len(pivots))[None, :], axis=1)
-    return order, ranks.astype(np.int16)
+    return order, ranks.astype(np.uint16)
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, blocks: int, posted: int = POSTED) -> DataFrame:
-    """(block, ids, first, vectors, ranks, begins, entries): a block's distinct vectors, the ids of each from first[i] on, ascending, and the pivots' inverted files over them."""
-    names = ["block", "ids", "first", "vectors", "ranks", "begins", "entries"]
+def cells(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = x.itemsize * x.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).data if x.size else b"")]).cast(pa.binary())
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        x, which = np.unique(matrix(table["embedding"], len(ids)), axis=0, return_inverse=True)
+
+def rows_of(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """cells() undone."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), width)
+
+
+def permuted(vectors: DataFrame, pivots: np.ndarray, near: int, dtype: str) -> DataFrame:
+    """(vec_id, vector, ranks, near): each vector, its permutation as ranks, and its nearest pivots, nearest first."""
+
+    def run(batches):
+        for b in batches:
+            x = matrix(b.column(1), b.num_rows)
+            if not len(x):
+                continue
+            order, ranks = ranks_of(x, pivots)
+            files = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * near, pa.int32()), pa.array(order[:, :near].reshape(-1), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), cells(x.astype(dtype)), cells(ranks), files], names=["vec_id", "vector", "ranks", "near"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vector binary, ranks binary, near array<int>")
+
+
+class Block:
+    """A block of one pivot's file: its distinct vectors with their permutations, and the ids of each, ascending."""
+
+    def __init__(self, pivot: int, ids: np.ndarray, x: np.ndarray, ranks: np.ndarray, posted: int) -> None:
+        _, one, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
         which = which.reshape(-1)
         by = np.lexsort((ids, which))
-        first = np.searchsorted(which[by], np.arange(len(x) + 1))
-        order, ranks = ranks_of(x, pivots)
-        near = order[:, :posted]
-        entries = np.argsort(near.reshape(-1), kind="stable") // near.shape[1]
-        begins = np.searchsorted(np.sort(near.reshape(-1)), np.arange(len(pivots) + 1))
-        data = [ids[by].astype(np.int64), first.astype(np.int64), x, ranks, begins.astype(np.int64), entries.astype(np.int32)]
-        return pa.table([table["block"][:1], *(pa.array([a.tobytes()], pa.binary()) for a in data)], names=names)
-
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, first binary, vectors binary, ranks binary, begins binary, entries binary")
-
-
-def search_block(q_ids, q, ids, first, x, ranks, begins, entries, pivots, k, probed, rerank, least):
-    """The k nearest of one block that the index finds for each query: (query row, ids, distances)."""
-    few = np.minimum(np.diff(first), k + 1)  # of equal vectors no more than the k first and the query itself can count
-    order, q_ranks = ranks_of(q, pivots)
-    for i in range(len(q)):
-        lists = [entries[begins[p] : begins[p + 1]] for p in order[i, :probed]]
-        found = np.zeros(len(x), dtype=bool)
-        found[np.concatenate(lists)] = True
-        rows = np.flatnonzero(found)
-        footrule = np.zeros(len(x), dtype=np.int32)
-        footrule[rows] = np.abs(ranks[rows] - q_ranks[i]).sum(axis=1, dtype=np.int32)
-        found[:] = False
-        for entry in lists:
-            n = max(least, int(np.ceil(rerank * len(entry))))
-            found[entry[np.argsort(footrule[entry], kind="stable")[:n]] if n < len(entry) else entry] = True
-        found[rows[footrule[rows] <= CLOSE * len(pivots) ** 2]] = True
-        rows = np.flatnonzero(found)
-        d = x[rows] - q[i]
+        self.ids, self.first = ids[by], np.searchsorted(which[by], np.arange(len(one) + 1))
+        self.x, self.ranks = x[one].astype(np.float64), ranks[one].astype(np.int16)
+        files = np.argsort(self.ranks, axis=1, kind="stable")[:, :posted]
+        # the files before this one in which a query may have met the entry; the number of pivots stands for none
+        self.before = np.where(np.arange(files.shape[1])[None, :] < self.ranks[:, pivot][:, None], files, ranks.shape[1])
+
+    def search(self, own: int, q: np.ndarray, q_ranks: np.ndarray, k: int, probed: int, rerank: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of the entries that are the query's to meet here: ids and distances."""
+        mine = np.append(q_ranks < probed, False)
+        rows = np.flatnonzero(~mine[self.before].any(axis=1))
+        footrule = np.abs(self.ranks[rows] - q_ranks).sum(axis=1, dtype=np.int32)
+        n = max(least, int(np.ceil(rerank * len(rows))))
+        if n < len(rows):
+            found = footrule <= CLOSE * len(q_ranks) ** 2
+            found[np.argsort(footrule, kind="stable")[:n]] = True
+            rows = rows[found]
+        d = self.x[rows] - q
         d = np.sqrt((d * d).sum(axis=1))
-        n = few[rows]
-        own = ids[np.repeat(first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        d, other = np.repeat(d, n), own != q_ids[i]
-        own, d = own[other], d[other]
-        best = np.lexsort((own, d))[:k]
-        yield i, own[best], d[best]
+        n = np.minimum(np.diff(self.first)[rows], k + 1)  # of equal vectors no more than the k first and the query itself can count
+        ids = self.ids[np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        d, other = np.repeat(d, n), ids != own
+        ids, d = ids[other], d[other]
+        best = np.lexsort((ids, d))[:k]
+        return ids[best], d[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, rerank: float = RERANK, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, rerank: float = RERANK, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, embedding) the k nearest vectors that the index finds.
 
     Nearness is the Euclidean distance in double precision; ties go to the
@@ -139,37 +154,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = P
     leaves out are neither queries nor candidates. An empty table, and queries
     without any candidate, give no rows. Other columns play no part.
     """
+    spark = vectors.sparkSession
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    dtype = "<f4" if single else "<f8"  # as the vectors came
     base = cut(usable(vectors.select("vec_id", "embedding")))
     chosen = choose_pivots(base, pivots)
-    total = base.count()
-    ask = usable(queries.select("vec_id", "embedding"))
-    schema = "query_id long, vec_id long, score double"
-    if not total:
-        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = chosen.shape[1]
-    blocks, packs = -(-total // BLOCK), -(-ask.count() // PACK) or 1
-
-    def pack(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        x = matrix(table["embedding"], len(ids))[by := np.argsort(ids)]
-        return pa.table([table["pack"][:1], pa.array([ids[by].astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["pack", "q_ids", "q"])
+    if not len(chosen):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, n, posted, probed = chosen.shape[1], len(chosen), min(posted, len(chosen)), min(probed, len(chosen))
+    entries = cut(permuted(base, chosen, posted, dtype))
+    sizes = {r["pivot"]: r["count"] for r in entries.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}  # a row for each pivot
+    blocks = F.get(F.array(*(F.lit(-(-sizes.get(p, 0) // block)) for p in range(n))), "pivot")
+    ask = permuted(usable(queries.select("vec_id", "embedding")).filter(F.size("embedding") == width), chosen, probed, "<f8")
+
+    listed = entries.select("vec_id", "vector", "ranks", F.explode("near").alias("pivot"))
+    listed = listed.select("pivot", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), F.lit(0).alias("tag"), "vec_id", "vector", "ranks")
+    asked = ask.select("vec_id", "vector", "ranks", F.explode("near").alias("pivot")).filter(blocks > 0)
+    asked = asked.select("pivot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("tag"), "vec_id", "vector", "ranks")
+    stream = listed.unionByName(asked).repartition(partitions(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "tag")
 
     def run(batches):
+        at, waiting, held = None, [], None
         for b in batches:
-            for row in b.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                first, width = np.frombuffer(row["first"], np.int64), chosen.shape[1]
-                q, x = np.frombuffer(row["q"]).reshape(-1, width), np.frombuffer(row["vectors"]).reshape(-1, width)
-                ranks = np.frombuffer(row["ranks"], np.int16).reshape(len(x), -1)
-                begins, entries = np.frombuffer(row["begins"], np.int64), np.frombuffer(row["entries"], np.int32)
-                out = list(search_block(q_ids, q, ids, first, x, ranks, begins, entries, chosen, k, probed, rerank, least))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.full(len(v), q_ids[i]) for i, v, _ in out])), pa.array(np.concatenate([v for _, v, _ in out])), pa.array(np.concatenate([d for _, _, d in out]))], names=["query_id", "vec_id", "score"]
-                )
-
-    index = build_index(base, chosen, blocks, posted).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    packed = ask.filter(F.size("embedding") == width).withColumn("pack", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(packs)).cast("int")).groupBy("pack").applyInArrow(pack, "pack int, q_ids binary, q binary")
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.join(packed.hint("merge"), ["block", "pack"]).drop("block", "pack").mapInArrow(run, schema)
+            keys = np.stack([b.column(i).to_numpy() for i in (0, 1, 2)], axis=1)
+            edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True]))) if len(keys) else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                pivot, number, tag = keys[lo].tolist()
+                part = b.slice(lo, hi - lo)
+                ids, ranks = part.column(3).to_numpy(), rows_of(part.column(5), "<u2", n)
+                if at != (pivot, number):
+                    at, waiting, held = (pivot, number), [], None
+                if tag == 0:
+                    waiting.append((ids, rows_of(part.column(4), dtype, width), ranks))
+                    continue
+                if held is None:
+                    held = Block(pivot, *(np.concatenate(x) for x in zip(*waiting, strict=True)), posted)
+                    waiting = []
+                found = [(own, *held.search(own, q, r, k, probed, rerank, least)) for own, q, r in zip(ids.tolist(), rows_of(part.column(4), "<f8", width), ranks.astype(np.int16), strict=True)]
+                own = np.concatenate([np.full(len(v), i, dtype=np.int64) for i, v, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([x for _, _, x in found]))], names=["query_id", "vec_id", "score"])
+
+    found = stream.mapInArrow(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
