@@ -38,6 +38,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_split(left: DataFrame, right: DataFrame, on: list[str], load: str, total: int, least: int = 1_000) -> DataFrame:
+    """left joined with right, which has one row for each key; a key with many rows of left is dealt over several tasks.
+
+    right's column `load` tells how many rows of left have the key (about), total
+    how many there are. A key is split if it has more than its share of a
+    partition (and more than least), so no more keys are split than there are partitions:
+    these are broadcast, and right's row is repeated for each part.
+    """
+    if total <= least:  # no key can have more
+        return left.join(right.drop(load), on)
+    most = max(least, total // partitions(left.sparkSession))
+    parts, part = fresh([*left.columns, *right.columns], "_parts", "_part")
+    heavy = F.broadcast(right.filter(F.col(load) > most).select(*on, F.ceil(F.col(load) / most).cast("int").alias(parts)))
+    n = F.coalesce(parts, F.lit(1))
+    one = left.join(heavy, on, "left").withColumn(part, F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop(parts)
+    other = right.drop(load).join(heavy, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return one.join(other, [*on, part]).drop(part)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, fresh, in_slices, partitions, widened
+from .common import checkpoint_dir, cut, fresh, in_slices, join_split, partitions, widened
 from .cuckoo import CuckooFilter
 
 #: The shortest key in code points; the references that a task takes of a very common line or shard (so many, or twice the mean); the keys of a filter.
@@ -123,15 +123,10 @@ def confirm(hits: DataFrame, shared: DataFrame, task_rows: int = TASK_ROWS) -> D
     """(doc_id, h, g) of the hits that the exact table confirms and that aren't the owner's.
 
     Keys with a large part of all references are dealt over several tasks.
-    There are no more such keys than partitions, so they are broadcast.
     """
     total = shared.agg(F.sum("refs").alias("refs")).first()["refs"] or 0
-    most = max(task_rows, total // partitions(shared.sparkSession))
-    hot = F.broadcast(shared.filter(F.col("refs") > most).select("h", "g", F.ceil(F.col("refs") / most).cast("int").alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    left = hits.join(hot, ["h", "g"], "left").select("h", "g", "doc_id", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-    right = shared.join(hot, ["h", "g"], "left").select("h", "g", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return left.join(right, ["h", "g", "salt"]).filter(F.col("doc_id") != F.col("low")).select("doc_id", "h", "g")
+    met = join_split(hits, shared.select("h", "g", "low", "refs"), ["h", "g"], "refs", total, task_rows)
+    return met.filter(F.col("doc_id") != F.col("low")).select("doc_id", "h", "g")
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, join_split, partitions
 from .components import connected_components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -151,10 +151,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     rows stay; an empty table gives an empty result; other columns play no part.
     """
     marked = cut(fingerprints(docs, width))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     found = cut(links(distinct, distance))
     labels = connected_components(found)
-    of_fp = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = of_fp.join(smallest, "label").select("fp", "component_id")
-    return marked.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    smallest = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
+    # a large component, and a fingerprint of many rows, are dealt over several tasks
+    members = join_split(of_fp.select("fp", "rows", "label"), smallest, ["label"], "size", of_fp.count()).select("fp", "rows", "component_id")
+    out = join_split(marked, members, ["fp"], "rows", marked.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
