@@ -96,31 +96,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base mod 2^64 and of its inverse, as far as asked for."""
+BASE = 0x9E3779B97F4A7C15
 
-    BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, dtype=np.uint64)
+def powers(n: int) -> np.ndarray:
+    """BASE to the powers 0 to n - 1, mod 2^64."""
+    x = np.full(n, BASE, dtype=np.uint64)
+    x[:1] = 1
+    return np.multiply.accumulate(x)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
-                x = np.full(n, base, dtype=np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
 
-
-POWERS = Powers()
+#: For the words of common length; longer ones get powers of their own, which aren't kept.
+POWERS = powers(1 << 12)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[s:e] for each span: a polynomial mod 2^64 from prefix sums, then mixed."""
-    up, down = POWERS.upto(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A hash of values[s:e] for each span: a polynomial mod 2^64, then mixed. Spans hold a value at least, ascend and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    begins = np.cumsum(lengths) - lengths
+    inside = np.zeros(len(values) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    place = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+    most = int(lengths.max())
+    up = POWERS if most <= len(POWERS) else powers(most)
+    terms = values[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)] * up[place]
+    return mix64(np.add.reduceat(terms, begins) + lengths.astype(np.uint64))

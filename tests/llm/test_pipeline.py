@@ -11,7 +11,8 @@ from test_other_operators import brute_targets
 from test_text_operators import brute_components, brute_lines, brute_simhash
 
 import corpus_pipeline
-from pagemill.llm import langid, queries
+from pagemill.llm import langid, queries, resemblance
+from pagemill.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +121,34 @@ def test_near_dedup_finds_texts_of_high_resemblance(spark):
     assert sum(0.8 <= r < 0.95 for _, r in pairs) > 50
     assert not [i for i, r in pairs if r >= 0.8 and i in kept]
     assert all(2 * i in kept for i in range(300))
+
+
+def test_resemblance_links_equal_an_exact_comparison_and_copies_meet_once(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words, 80).tolist() for _ in range(6)]
+    texts = [" ".join(base[0])] * 120 + [" ".join(base[1]).upper() if i % 2 else " ".join(base[1]) for i in range(40)]
+    for i in range(40):
+        near = list(base[i % 6])
+        near[int(r.integers(80))] = f"x{i}"
+        texts.append(" ".join(near))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [set(x.tolist()) for x in resemblance.shingle_sets(texts)]
+    node = list(range(len(texts)))
+
+    def find(x):
+        while node[x] != x:
+            x = node[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                node[max(find(i), find(j))] = min(find(i), find(j))
+    for held in (100_000, 200):
+        monkeypatch.setattr(resemblance, "HELD", held)
+        found = resemblance.links(docs)
+        labels = {x["node"]: x["label"] for x in connected_components(found).collect()}
+        assert [labels.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    rows = resemblance.candidates(docs).filter("one = other").count()
+    assert rows < 2 * len(texts)

@@ -95,6 +95,32 @@ def test_fingerprints_of_odd_rows(odd, none, spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abca").hexdigest()
 
 
+def plain_sketch(text, k, width=5):
+    """The k smallest distinct shingle hashes, with Python's own integers."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+        return x ^ (x >> 31)
+
+    byte = [mix((i * 0x9E3779B97F4A7C15) & m) for i in range(1, 257)]
+    factor = [mix(i ^ 0x5BF03635D1F26A9B) | 1 for i in range(1, width + 1)]
+    words = [mix((sum(byte[b] * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & m) for w in (text or "").encode().lower().split()]
+    if not words:
+        return []
+    if len(words) < width:
+        return [mix((sum(w * f for w, f in zip(words, factor, strict=False)) + len(words)) & m)]
+    return sorted({mix(sum(w * f for w, f in zip(words[i : i + width], factor, strict=True)) & m) for i in range(len(words) - width + 1)})[:k]
+
+
+def test_sketches_are_the_k_smallest_hashes(docs):
+    texts = [d["text"] for d in docs] + [None, "", " \n", "one", "a b c d", "x " * 400, "w" * 10_000 + " b c d e f", "É é ß\x0b\x1c " * 3, LONG]
+    for k in (4, 128):
+        made = fingerprints.sketches([(t or "").encode() for t in texts], k)
+        assert [x.tolist() for x in made] == [plain_sketch(t, k) for t in texts]
+
+
 def test_sketches_merge_and_estimate(spark):
     r = random.Random(1)
     words = [f"w{r.randrange(400)}" for _ in range(6000)]
