@@ -47,16 +47,31 @@ def name_score(tokens: Column, name: Column) -> Column:
     return F.when(F.size(tokens) == 0, 0.0).otherwise(0.6 * name_fraction(tokens, name) + 0.4 * ratio)
 
 
-def scored_names(references: DataFrame, files: DataFrame) -> DataFrame:
+def most_score(tokens: Column, name: Column) -> Column:
+    """What name_score() can be at most, without comparing sequences: each sign of the shorter text may match but once."""
+    a, b = F.array_join(tokens, " "), F.array_join(T.name_tokens(name), " ")
+    total = F.length(a) + F.length(b)
+    return 0.6 * name_fraction(tokens, name) + 0.4 * F.when(total == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / F.greatest(total, F.lit(1)))
+
+
+def least_that_matters(config: RetrievalConfig = DEFAULT) -> float:
+    """Scores below this change no answer of by_name(): they are no near miss, nor do they come close enough to one."""
+    return config.near_threshold / max(1.0, config.dominance)
+
+
+def scored_names(references: DataFrame, files: DataFrame, least: float = 0.0) -> DataFrame:
     """(ref_id, target, path, name, mtime_ns, tokens, score): every file by every reference.
 
     The references are questions of users, a bounded set that becomes part of
-    the plan; the files are read once.
+    the plan; the files are read once. With `least`, files that can't reach that score
+    are left out before any sequences are compared.
     """
     rows = references.select("ref_id", "target").collect()
     asked = F.array(*(F.struct(F.lit(r["ref_id"]).cast("long").alias("ref_id"), F.lit(r["target"]).alias("target")) for r in rows))
     every = files.withColumn("_r", F.explode(asked)).select("_r.ref_id", "_r.target", "path", "name", "mtime_ns")
     every = every.withColumn("tokens", reference_tokens(F.col("target")))
+    if least > 0:
+        every = every.filter(recency_intent(F.col("target")) | (most_score(F.col("tokens"), F.col("name")) >= least - 1e-6))  # the newest is among all
     return every.withColumn("score", F.round(name_score(F.col("tokens"), F.col("name")), 6))
 
 
@@ -117,7 +132,7 @@ def resolve(references: DataFrame, files: DataFrame, probes: DataFrame, config:
     In order: an exact path, the newest file, names, a near miss, contents.
     """
     exact = references.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("ref_id", F.lit("path").alias("kind"), F.array("target").alias("candidates"), F.lit(0).alias("step"))
-    scored = scored_names(references, files)
+    scored = scored_names(references, files, least_that_matters(config))
     recent = by_recency(scored, config).select("ref_id", F.lit("one").alias("kind"), F.array("path").alias("candidates"), F.lit(1).alias("step"))
     named = by_name(scored, config).select("ref_id", F.when(F.col("kind") == "near", "one").otherwise(F.col("kind")).alias("kind"), "candidates", F.lit(2).alias("step"))
     inside = by_content(references, probes, config).groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("c"))
@@ -153,6 +168,14 @@ def in_scope(docs: DataFrame, wanted: str) -> DataFrame:
     return exact if exact.limit(1).count() else docs.filter(F.split_part("doc_id", F.lit("#"), F.lit(1)) == wanted)
 
 
+def scopes(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, doc_id, path) of in_scope() for each of names (name), as joins."""
+    exact = names.join(docs.select("doc_id", "path"), F.col("name") == F.col("doc_id")).select("name", "doc_id", "path")
+    others = names.join(docs.select(F.col("doc_id").alias("name")), "name", "left_anti")
+    wide = others.join(docs.select("doc_id", "path"), F.col("name") == F.split_part("doc_id", F.lit("#"), F.lit(1))).select("name", "doc_id", "path")
+    return exact.unionByName(wide)
+
+
 def allowed(path: Column, roots: list[str]) -> Column:
     """Whether a path is one of the roots or below one; without roots all are."""
     if not roots:

@@ -39,6 +39,19 @@ def hybrid(passages: DataFrame, questions: DataFrame, sem: DataFrame | None = No
     return fusion.blended(found, bounds, config, few=questions.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS)
 
 
+def for_each(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """units with each question's query_id: the dense form of a set of questions, a bounded one, over all units."""
+    return units.crossJoin(small(questions.select("query_id")))
+
+
+def dense(passages: DataFrame, questions: DataFrame, sem: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """hybrid() with a row for every passage and question, for a look at all scores, zeros included."""
+    scores = lexical.kept(lexical.bm25(passages, KEYS, questions, config).withColumnRenamed("score", "kw"))
+    bounds = fusion.score_bounds(scores, sem, doc_sizes(passages), questions.select("query_id"))
+    every = for_each(passages.select(*KEYS), questions).join(scores.select("query_id", "doc_id", "passage_id", "kw"), ["query_id", "doc_id", "passage_id"], "left").join(sem, ["query_id", "doc_id"], "left")
+    return fusion.blended(every.fillna(0.0, ["kw", "sem"]), bounds, config, few=True)
+
+
 def picked(passages: DataFrame, questions: DataFrame, scored: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
     """(query_id, rank, doc_id, page, passage_id, score, text): each question's k best, near-duplicates of a page left out.
 

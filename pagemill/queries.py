@@ -61,7 +61,7 @@ class Tables:
     @cached_property
     def stored(self) -> DataFrame:
         """The passages for searches, which read them several times: kept, as an index on disk would keep them."""
-        return self.passages.select("doc_id", "passage_id", "page", "text").persist()
+        return lexical.kept(self.passages.select("doc_id", "passage_id", "page", "text"))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -117,7 +117,11 @@ class Tables:
 
 def query(sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            lexical.release()  # what the query before has kept
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = S.sql(sql)
         return f
@@ -254,7 +258,10 @@ def probe_text(t):
     return t.probes
 
 
-@query()
+_BARS = "SELECT *, sum(CASE WHEN bar AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i)::BIGINT AS table_no FROM (SELECT *, lag(bar) OVER (PARTITION BY doc_id, page ORDER BY i) AS before FROM (SELECT doc_id, page, i, line, contains(line, '|') AS bar FROM (SELECT doc_id, page, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, page, string_split(text, chr(10)) AS l FROM pages_x))))"
+
+
+@query(rf"SELECT doc_id, page, table_no, row_number() OVER (PARTITION BY doc_id, page, table_no ORDER BY i) AS row_no, array_to_string(list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda x: trim(x)), chr(9)) AS cells FROM ({_BARS}) WHERE bar")
 def tables_rows(t):
     return inspection.table_rows(t.pages_x)
 
@@ -307,10 +314,10 @@ def kw_fts_prefix(t):
     return lexical.prefix_bm25(t.passages, KEYS, t.questions)
 
 
-@query("SELECT p.doc_id, p.page, p.passage_id, coalesce(kw, 0)::DOUBLE AS kw FROM passages_ p LEFT JOIN (SELECT * FROM xkw WHERE query_id = 1) x ON x.doc_id = p.doc_id AND x.passage_id = p.passage_id")
+@query("SELECT q.query_id, p.doc_id, p.page, p.passage_id, coalesce(kw, 0)::DOUBLE AS kw FROM passages_ p CROSS JOIN q LEFT JOIN xkw x ON x.query_id = q.query_id AND x.doc_id = p.doc_id AND x.passage_id = p.passage_id")
 def kw_zero_fill(t):
-    scores = lexical.prefix_bm25(t.passages, KEYS, t.questions.filter("query_id = 1")).select("doc_id", "passage_id", F.col("score").alias("kw"))
-    return t.passages.select(*KEYS).join(scores, ["doc_id", "passage_id"], "left").select(*KEYS, F.coalesce("kw", F.lit(0.0)).alias("kw"))
+    scores = lexical.prefix_bm25(t.passages, KEYS, t.questions).select("query_id", "doc_id", "passage_id", F.col("score").alias("kw"))
+    return P.for_each(t.passages.select(*KEYS), t.questions).join(scores, ["query_id", "doc_id", "passage_id"], "left").select("query_id", *KEYS, F.coalesce("kw", F.lit(0.0)).alias("kw"))
 
 
 @query("SELECT query_id, term FROM qt WHERE term NOT IN (SELECT term FROM xtf)")
@@ -333,12 +340,10 @@ def cosine_scores_fast(t):
     return semantic.cosines_fast(t.vectors, "doc_id", [(i, rows[v]) for i, _, v, _ in S.QUESTIONS if v in rows])
 
 
-_CANDIDATE = "(kw <> 0 OR sem >= 0.25)"
-
-
-@query(f"SELECT query_id, doc_id, passage_id, round(kw_norm, 6) AS kw_norm, round(sem_norm, 6) AS sem_norm FROM norm WHERE {_CANDIDATE}")
+@query("SELECT query_id, doc_id, passage_id, round(kw_norm, 6) AS kw_norm, round(sem_norm, 6) AS sem_norm FROM norm")
 def minmax_norm(t):
-    return t.hybrid.filter(_CANDIDATE).select("query_id", "doc_id", "passage_id", F.round("kw_norm", 6).alias("kw_norm"), F.round("sem_norm", 6).alias("sem_norm"))
+    every = P.dense(t.stored, t.questions, t.sem)
+    return every.select("query_id", "doc_id", "passage_id", F.round("kw_norm", 6).alias("kw_norm"), F.round("sem_norm", 6).alias("sem_norm"))
 
 
 @query("SELECT query_id, doc_id, page, passage_id, kw, sem, score FROM scored WHERE score > 0")
@@ -346,15 +351,15 @@ def hybrid_passages(t):
     return t.hybrid.filter("score > 0").select("query_id", "doc_id", "page", "passage_id", "kw", "sem", "score")
 
 
-@query(f"SELECT query_id, doc_id, passage_id, eligible FROM scored WHERE {_CANDIDATE}")
+@query("SELECT query_id, doc_id, passage_id, eligible, score FROM scored")
 def gate_eligible(t):
-    return t.hybrid.filter(_CANDIDATE).select("query_id", "doc_id", "passage_id", "eligible")
+    return P.dense(t.stored, t.questions, t.sem).select("query_id", "doc_id", "passage_id", "eligible", "score")
 
 
-@query("SELECT q.query_id, p.doc_id, p.page, coalesce(s.score, 0)::DOUBLE AS score FROM pages_ p CROSS JOIN (SELECT query_id FROM q WHERE query_id = 1) q LEFT JOIN xpage_scores s ON s.query_id = q.query_id AND s.doc_id = p.doc_id AND s.page = p.page")
+@query("SELECT q.query_id, p.doc_id, p.page, coalesce(s.score, 0)::DOUBLE AS score FROM pages_ p CROSS JOIN q LEFT JOIN xpage_scores s ON s.query_id = q.query_id AND s.doc_id = p.doc_id AND s.page = p.page")
 def page_scores(t):
-    best = fusion.page_scores(t.hybrid_indexed.filter("query_id = 1"))
-    return t.pages.select("doc_id", "page").join(best.drop("query_id"), ["doc_id", "page"], "left").select(F.lit(1).cast("long").alias("query_id"), "doc_id", "page", F.coalesce("score", F.lit(0.0)).alias("score"))
+    best = fusion.page_scores(t.hybrid_indexed)
+    return P.for_each(t.pages.select("doc_id", "page"), t.questions).join(best, ["query_id", "doc_id", "page"], "left").select("query_id", "doc_id", "page", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query("SELECT query_id, doc_id, page, score, rank FROM page_top")
@@ -544,19 +549,55 @@ def name_fraction(t):
     return scored.select("ref_id", "path", F.round(resolver.name_fraction(F.col("tokens"), F.col("name")), 6).alias("fraction"))
 
 
-@query()
+# matching blocks as the longest common run, the leftmost of equals, then the same left and right of it
+S.PARTS["name_pairs"] = f"""SELECT ref_id, target, path, name, mtime_ns, tokens, array_to_string(tokens, ' ') AS a, array_to_string(regexp_extract_all(lower({S.name_stem('name')}), '[a-z0-9]+'), ' ') AS b,
+  CASE WHEN len(tokens) = 0 THEN 0 ELSE len(list_filter(tokens, lambda t: contains(lower(name), t))) * 1.0::DOUBLE / len(tokens) END AS fraction FROM files_ CROSS JOIN ref_tokens"""
+_RUNS = "SELECT {0}, i, k, substr({1}, i + 1, k) AS s FROM (SELECT {0}, {1}, i, unnest(range(1, least(length({1}) - i, (SELECT max(length(a)) FROM name_pairs)) + 1)) AS k FROM (SELECT {0}, {1}, unnest(range(length({1}))) AS i FROM (SELECT DISTINCT {0}, {1} FROM name_pairs)))"
+S.PARTS["runs_a"], S.PARTS["runs_b"] = _RUNS.format("ref_id", "a"), _RUNS.format("path", "b")
+S.PARTS["same_runs"] = "SELECT ref_id, path, x.i, y.i AS j, x.k FROM runs_a x JOIN runs_b y ON x.s = y.s"
+S.PARTS["ratio_steps"] = """SELECT ref_id, path, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi, 0::BIGINT AS got FROM name_pairs
+  UNION ALL SELECT ref_id, path, CASE side WHEN 0 THEN alo ELSE m.i + m.k END, CASE side WHEN 0 THEN m.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE m.j + m.k END, CASE side WHEN 0 THEN m.j ELSE bhi END, CASE side WHEN 0 THEN m.k ELSE 0 END
+  FROM (SELECT r.ref_id, r.path, alo, ahi, blo, bhi, arg_min({'i': i, 'j': j, 'k': k}, (1000 - k) * 1000000 + i * 1000 + j) AS m FROM ratio_steps r JOIN same_runs c ON c.ref_id = r.ref_id AND c.path = r.path AND i >= alo AND i + k <= ahi AND j >= blo AND j + k <= bhi GROUP BY ALL), (SELECT unnest([0, 1]) AS side)"""
+S.PARTS["name_scores_"] = """SELECT p.*, CASE WHEN len(tokens) = 0 THEN 0 ELSE round(0.6::DOUBLE * fraction + 0.4::DOUBLE * CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2.0::DOUBLE * got / (length(a) + length(b)) END, 6) END::DOUBLE AS score
+  FROM name_pairs p JOIN (SELECT ref_id, path, sum(got) AS got FROM ratio_steps GROUP BY ALL) USING (ref_id, path)"""
+_RECENT = f"regexp_matches(target, {S.quoted(S.RECENCY)})"
+S.PARTS["name_ranked"] = f"SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, 0) AS next FROM name_scores_ WHERE NOT {_RECENT} WINDOW w AS (PARTITION BY ref_id ORDER BY score DESC, path)"
+S.PARTS["named_"] = """SELECT ref_id, CASE WHEN count(*) = 1 THEN 'one' ELSE 'many' END AS kind, string_agg(path, ';' ORDER BY rank) AS candidates FROM name_ranked WHERE score >= 0.5 AND rank <= 5 GROUP BY 1
+  UNION ALL SELECT ref_id, 'near', path FROM name_ranked WHERE rank = 1 AND score < 0.5 AND score >= 0.35 AND score >= next * 1.5"""
+S.PARTS["newest_"] = f"SELECT ref_id, max_by(path, (CASE WHEN len(tokens) = 0 OR score >= 0.5 THEN 1 ELSE 0 END, mtime_ns, path)) AS path FROM name_scores_ WHERE {_RECENT} GROUP BY 1"
+
+
+@query("SELECT ref_id, path, score FROM name_scores_")
+def name_scores(t):
+    return resolver.scored_names(t.references, t.files).select("ref_id", "path", "score")
+
+
+@query("SELECT ref_id, kind, candidates FROM named_")
 def resolve_name(t):
-    return resolver.by_name(resolver.scored_names(t.references, t.files)).select("ref_id", "kind", text_list(F.col("candidates"), ";").alias("candidates"))
+    return resolver.by_name(resolver.scored_names(t.references, t.files, least=resolver.least_that_matters())).select("ref_id", "kind", text_list(F.col("candidates"), ";").alias("candidates"))
 
 
-@query()
+@query("SELECT ref_id, path, score, next FROM (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next FROM name_scores_ WINDOW w AS (PARTITION BY ref_id ORDER BY score DESC, path)) WHERE rank = 1")
 def resolve_near_miss(t):
     order = W.partitionBy("ref_id").orderBy(F.desc("score"), "path")
     scored = resolver.scored_names(t.references, t.files).withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
     return scored.filter("rank = 1").select("ref_id", "path", "score", "next")
 
 
-@query()
+S.PARTS["c_refs"] = f"SELECT ref_id AS query_id, term, count(*) AS m FROM (SELECT ref_id, unnest({S.terms('target')}) AS term FROM refs) GROUP BY ALL"
+S.PARTS["c_qt"] = "SELECT * FROM c_refs WHERE query_id IN (SELECT query_id FROM c_refs GROUP BY 1 HAVING sum(m) >= 2)"
+S.PARTS["c_docs"] = f"SELECT path, {S.tokens('text')} AS toks FROM probes WHERE text <> ''"
+S.PARTS["c_tf"] = "SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(toks) AS term FROM c_docs) WHERE term IN (SELECT term FROM c_qt) GROUP BY ALL"
+S.PARTS["c_scores"] = """SELECT query_id, path, round(sum(m * ln(1 + (n - m * df + 0.5) / (m * df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len(toks), 1) / av))), 6) AS score
+  FROM c_tf JOIN (SELECT term, count(*) AS df FROM c_tf GROUP BY term) USING (term) JOIN c_qt USING (term) JOIN c_docs USING (path), (SELECT count(*)::DOUBLE AS n, sum(len(toks))::DOUBLE / count(*) AS av FROM c_docs) GROUP BY ALL"""
+S.PARTS["c_ranked"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM c_scores"
+S.PARTS["c_sure"] = "SELECT r.query_id FROM c_ranked r JOIN c_docs USING (path) JOIN c_qt q ON q.query_id = r.query_id AND list_contains(toks, q.term) WHERE rank = 1 GROUP BY 1 HAVING count(*) >= 2"
+S.PARTS["inside_"] = "SELECT query_id AS ref_id, path, rank, score FROM c_ranked WHERE best > 0 AND score >= best * 0.6 AND rank <= 5 AND query_id IN (SELECT query_id FROM c_sure)"
+S.PARTS["resolved_"] = """SELECT ref_id, 'path' AS kind, target AS candidates, 0 AS step FROM refs WHERE target IN (SELECT path FROM files_) UNION ALL SELECT ref_id, 'one', path, 1 FROM newest_
+  UNION ALL SELECT ref_id, CASE WHEN kind = 'near' THEN 'one' ELSE kind END, candidates, 2 FROM named_ UNION ALL SELECT ref_id, CASE WHEN count(*) = 1 THEN 'one' ELSE 'many' END, string_agg(path, ';' ORDER BY rank), 3 FROM inside_ GROUP BY 1"""
+
+
+@query("SELECT ref_id, coalesce(r.kind, 'none') AS kind, coalesce(r.candidates, '') AS candidates FROM refs LEFT JOIN (SELECT ref_id, arg_min({'kind': kind, 'candidates': candidates}, step) AS r FROM resolved_ GROUP BY 1) USING (ref_id)")
 def resolve_document(t):
     return resolver.resolve(t.references, t.files.drop("page_id"), t.probes).select("ref_id", "kind", text_list(F.col("candidates"), ";").alias("candidates"))
 
@@ -566,33 +607,27 @@ def recency_intent(t):
     return t.references.select("ref_id", resolver.recency_intent(F.col("target")).alias("recent"), text_list(resolver.reference_tokens(F.col("target")), " ").alias("tokens"))
 
 
-@query("SELECT 1::BIGINT AS ref_id, max_by(path, mtime_ns) AS path FROM files_")
+@query("SELECT ref_id, path FROM newest_")
 def resolve_recency(t):
-    return resolver.by_recency(resolver.scored_names(t.references.filter("ref_id = 1"), t.files))
-
-
-S.PARTS["c_refs"] = f"SELECT ref_id AS query_id, term, count(*) AS m FROM (SELECT ref_id, unnest({S.terms('target')}) AS term FROM refs) GROUP BY ALL"
-S.PARTS["c_qt"] = "SELECT * FROM c_refs WHERE query_id IN (SELECT query_id FROM c_refs GROUP BY 1 HAVING sum(m) >= 2)"
-S.PARTS["c_docs"] = f"SELECT path, {S.tokens('text')} AS toks FROM probes WHERE text <> ''"
-S.PARTS["c_tf"] = "SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(toks) AS term FROM c_docs) WHERE term IN (SELECT term FROM c_qt) GROUP BY ALL"
-S.PARTS["c_scores"] = """SELECT query_id, path, round(sum(m * ln(1 + (n - m * df + 0.5) / (m * df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len(toks), 1) / av))), 6) AS score
-  FROM c_tf JOIN (SELECT term, count(*) AS df FROM c_tf GROUP BY term) USING (term) JOIN c_qt USING (term) JOIN c_docs USING (path), (SELECT count(*)::DOUBLE AS n, sum(len(toks))::DOUBLE / count(*) AS av FROM c_docs) GROUP BY ALL"""
-S.PARTS["c_ranked"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM c_scores"
-S.PARTS["c_sure"] = "SELECT r.query_id FROM c_ranked r JOIN c_docs USING (path) JOIN c_qt q ON q.query_id = r.query_id AND list_contains(toks, q.term) WHERE rank = 1 GROUP BY 1 HAVING count(*) >= 2"
+    return resolver.by_recency(resolver.scored_names(t.references, t.files))
 
 
-@query("SELECT query_id AS ref_id, path, rank, score FROM c_ranked WHERE best > 0 AND score >= best * 0.6 AND rank <= 5 AND query_id IN (SELECT query_id FROM c_sure)")
+@query("SELECT ref_id, path, rank, score FROM inside_")
 def content_probe(t):
     return resolver.by_content(t.references, t.probes)
 
 
-@query("SELECT doc_id, path FROM (SELECT CASE WHEN nth = 1 THEN name ELSE name || '#' || left(sha256(path), 6) END AS doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS nth FROM files_)) WHERE string_split(doc_id, '#')[1] = (SELECT min(name) FROM files_) AND NOT doc_id = 'x'")
+S.PARTS["doc_ids_"] = "SELECT path, name, CASE WHEN nth = 1 THEN name ELSE name || '#' || left(sha256(path), 6) END AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS nth FROM files_)"
+S.PARTS["loaded_"] = "SELECT * FROM doc_ids_ WHERE doc_id <> (SELECT min(name) FROM files_)"
+S.PARTS["wanted_"] = "SELECT name FROM files_ UNION SELECT doc_id FROM doc_ids_"
+
+
+@query("SELECT name, doc_id, path FROM (SELECT w.name, l.doc_id, l.path FROM wanted_ w JOIN loaded_ l ON l.doc_id = w.name UNION ALL SELECT w.name, l.doc_id, l.path FROM wanted_ w JOIN loaded_ l ON split_part(l.doc_id, '#', 1) = w.name WHERE w.name NOT IN (SELECT doc_id FROM loaded_))")
 def doc_scope(t):
     ids = resolver.doc_ids(t.files.withColumnRenamed("page_id", "seq"))
-    first = t.files.agg(F.min("name").alias("n")).first()["n"]
-    wide = ids.filter(F.split_part("doc_id", F.lit("#"), F.lit(1)) == first)
-    only = resolver.in_scope(ids.filter(F.col("doc_id") != first).select("doc_id", "path"), first)
-    return only.unionByName(wide.filter(F.col("doc_id") == first).select("doc_id", "path"))
+    names = t.files.select("name").union(ids.select("doc_id")).distinct()
+    first = t.files.agg(F.min("name").alias("n")).first()["n"]  # its plain id isn't loaded, so its name stands for the others
+    return resolver.scopes(ids.filter(F.col("doc_id") != first).select("doc_id", "path"), names)
 
 
 @query("SELECT path, CASE WHEN nth = 1 THEN name ELSE name || '#' || left(sha256(path), 6) END AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS nth FROM files_)")
@@ -700,6 +735,7 @@ def ingest_report(t):
 # --- index on disk ------------------------------------------------------------------
 
 S.PARTS["meta_rows"] = "SELECT d.doc_id, k.key, CASE k.key WHEN 'schema_version' THEN '1' WHEN 'model' THEN 'none' WHEN 'extractor' THEN 'table' WHEN 'dim' THEN '64' WHEN 'pdf_size' THEN length(text)::VARCHAR WHEN 'pdf_mtime_ns' THEN doc_id::VARCHAR WHEN 'n_pages' THEN (SELECT count(*) FROM pages_ p WHERE p.doc_id = d.doc_id)::VARCHAR WHEN 'n_passages' THEN (SELECT count(*) FROM passages_ p WHERE p.doc_id = d.doc_id)::VARCHAR WHEN 'outline' THEN '[]' ELSE '1000.0' END AS value FROM documents d CROSS JOIN (SELECT unnest(['schema_version', 'model', 'extractor', 'dim', 'pdf_size', 'pdf_mtime_ns', 'n_pages', 'n_passages', 'outline', 'built_at']) AS key) k"
+S.PARTS["metas_"] = "SELECT doc_id, map_from_entries(list({'k': key, 'v': value})) AS meta FROM meta_rows GROUP BY 1"
 
 
 def _metas(t):
@@ -712,21 +748,25 @@ def meta_map(t):
     return _metas(t)[1].select("doc_id", F.explode("meta").alias("key", "value"))
 
 
-@query("SELECT doc_id, (1000.0 + 14 * 86400 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) - 1000.0 > 14 * 86400 AS expired FROM documents")
+@query("SELECT doc_id, 1000.0 + 14 * 86400 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END - meta['built_at']::DOUBLE > 14 * 86400 AS expired FROM metas_")
 def index_expired(t):
     now = 1000.0 + 14 * 86400
     out = _metas(t)[1]
     return out.select("doc_id", F.when(F.col("doc_id") % 2 == 0, index.expired(F.col("meta"), now + 1)).otherwise(index.expired(F.col("meta"), now)).alias("expired"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS fresh FROM documents")
+S.PARTS["fresh_"] = """SELECT d.doc_id, meta['schema_version'] = '1' AND meta['model'] = 'none' AND meta['extractor'] = 'table' AND meta['pdf_size']::BIGINT = length(text) AND meta['pdf_mtime_ns']::BIGINT = d.doc_id + CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END
+  AND NOT 2000.0 - meta['built_at']::DOUBLE > 14 * 86400 AS fresh FROM documents d JOIN metas_ USING (doc_id)"""
+
+
+@query("SELECT doc_id, fresh FROM fresh_")
 def index_fresh(t):
     files, metas = _metas(t)
     now = files.withColumn("mtime_ns", F.col("mtime_ns") + (F.col("doc_id") % 3 == 0).cast("long"))
     return now.join(metas, "doc_id").select("doc_id", index.fresh(F.col("meta"), F.col("size"), F.col("mtime_ns"), 2000.0, "none", "table").alias("fresh"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 1")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM fresh_ WHERE fresh AND doc_id % 5 <> 1)")
 def docs_to_build(t):
     files, metas = _metas(t)
     now = files.withColumn("mtime_ns", F.col("mtime_ns") + (F.col("doc_id") % 3 == 0).cast("long"))
@@ -746,12 +786,10 @@ S.PARTS["b_top"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY que
 
 
 def _benchmark(t):
-    """Questions are the items' first words; gold are the documents that hold an item whole, found by its first words' rarest place in the text."""
+    """Questions are the items' first words; gold are the documents that hold an item whole."""
     items = t.read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     questions = items.select("query_id", F.array_join(F.slice(T.words(F.col("passage")), 1, 8), " ").alias("text"))
-    held = F.array(*(F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(r["passage"]).alias("passage")) for r in items.collect()))  # the benchmark is a bounded set
-    gold = t.docs.withColumn("_b", F.explode(F.filter(held, lambda b: F.contains(F.col("text"), b["passage"])))).select("_b.query_id", "doc_id")
-    return questions, gold
+    return questions, evaluation.holders(items, t.docs)
 
 
 def _document_top(t, questions):

@@ -136,16 +136,17 @@ PARTS |= {
 def sql(body: str) -> str:
     """The query with the parts that it names, and theirs, put before it."""
     used: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in PARTS:
-            if name not in used and re.search(rf"\b{name}\b", text) and re.search(rf"(FROM|JOIN|,)\s*\(?\s*{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text) and re.search(rf"(FROM|JOIN|,)\s*\(?\s*{name}\b", text):
+                seen.add(name)
                 visit(PARTS[name])
-                if name not in used:
-                    used.append(name)
+                used.append(name)
 
     visit(body)
-    return (("WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in used) + " ") if used else "") + body
+    return (("WITH RECURSIVE " + ", ".join(f"{n} AS ({PARTS[n]})" for n in used) + " ") if used else "") + body
 
 
 __all__ = ["HEADING", "INSTRUCTION", "RECENCY", "REFERENCE", "REMOVED", "QUESTIONS", "sql"]
