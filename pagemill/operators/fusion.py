@@ -23,29 +23,32 @@ def minmax(x: Column, lo: Column, hi: Column) -> Column:
 def score_bounds(kw: DataFrame, sem: DataFrame, units_of_doc: DataFrame, query_ids: DataFrame) -> DataFrame:
     """(query_id, kw_lo, kw_hi, sem_lo, sem_hi) over all units of all documents.
 
-    kw: (query_id, ..., kw) sparse; sem: (query_id, doc_id, sem); units_of_doc:
-    (doc_id, n), the documents' numbers of units.
+    kw: (query_id, ..., kw) sparse; sem: (query_id, doc_id, sem), or with
+    passage_id for vectors of units; units_of_doc: (doc_id, n), the documents' numbers
+    of units.
     """
     sizes = units_of_doc.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
-    total, docs = sizes["n"] or 0, sizes["docs"]
+    total = sizes["n"] or 0
+    scored = total if "passage_id" in sem.columns else sizes["docs"]
     k = kw.groupBy("query_id").agg(F.count("*").alias("kn"), F.min("kw").alias("kl"), F.max("kw").alias("kh"))
     s = sem.join(units_of_doc, "doc_id", "left_semi").groupBy("query_id").agg(F.count("sem").alias("sn"), F.min("sem").alias("sl"), F.max("sem").alias("sh"))
     zero = F.lit(0.0)
     full = lambda n, all_, x, pick: F.when(F.coalesce(n, F.lit(0)) < all_, pick(F.coalesce(x, zero), zero)).otherwise(x)
     return query_ids.join(bounded(k, query_ids), "query_id", "left").join(bounded(s, query_ids), "query_id", "left").select(
         "query_id", full(F.col("kn"), total, F.col("kl"), F.least).alias("kw_lo"), full(F.col("kn"), total, F.col("kh"), F.greatest).alias("kw_hi"),
-        full(F.col("sn"), docs, F.col("sl"), F.least).alias("sem_lo"), full(F.col("sn"), docs, F.col("sh"), F.greatest).alias("sem_hi"),
+        full(F.col("sn"), scored, F.col("sl"), F.least).alias("sem_lo"), full(F.col("sn"), scored, F.col("sh"), F.greatest).alias("sem_hi"),
     )
 
 
 def candidates(units: DataFrame, kw: DataFrame, sem: DataFrame, floor: float) -> DataFrame:
-    """(query_id, doc_id, passage_id, page, kw, sem): units with a keyword score row or a near document."""
-    near = sem.filter(F.col("sem") >= floor).select("query_id", "doc_id")
-    by_doc = units.select("doc_id", "passage_id", "page").join(near, "doc_id").select("query_id", "doc_id", "passage_id", "page")
+    """(query_id, doc_id, passage_id, page, kw, sem): units with a keyword score row or a near vector, their document's or their own."""
+    keys = [c for c in ("doc_id", "passage_id") if c in sem.columns]
+    near = sem.filter(F.col("sem") >= floor).select("query_id", *keys)
+    by_doc = units.select("doc_id", "passage_id", "page").join(near, keys).select("query_id", "doc_id", "passage_id", "page")
     by_word = kw.select("query_id", "doc_id", "passage_id", "page", "kw")
     both = by_doc.withColumn("kw", F.lit(0.0)).unionByName(by_word).groupBy("query_id", "doc_id", "passage_id", "page").agg(F.max("kw").alias("hi"), F.min("kw").alias("lo"))
     scored = both.withColumn("kw", F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.col("lo"))).drop("hi", "lo")
-    return scored.join(sem, ["query_id", "doc_id"], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
+    return scored.join(sem, ["query_id", *keys], "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
 
 
 def blended(found: DataFrame, bounds: DataFrame, config: RetrievalConfig = DEFAULT, matched: str | None = None, few: bool = False) -> DataFrame:

@@ -1,8 +1,8 @@
 """The index on disk: tables, identity, freshness, expiry and publishing.
 
-A build writes a new version folder and only then the one-row pointer, so
-readers see the old version or the new one. Documents that are fresh aren't
-built again.
+A build appends a folder of its own to each table and only then tells the log, so
+readers see a document as it was or as it is. Documents that are fresh aren't
+built again, and no build copies what others have written.
 """
 
 from __future__ import annotations
@@ -60,56 +60,79 @@ def to_build(files: DataFrame, metas: DataFrame, now: float, model: str, extract
 
 
 class Index:
-    """An index folder: pages, passages (with vectors, if there is a provider), postings and meta."""
+    """An index folder: pages, passages (with vectors, if there is a provider), postings and meta.
+
+    A build appends its documents to every table, in a folder of its own, and then
+    tells in the log which build each of them is of; a cleared document is of none.
+    So a build costs what its documents cost, and readers, who take a document's
+    last entry, see it as it was or as it is. compact() drops what is replaced.
+    """
 
     TABLES = ("pages", "passages", "postings", "meta")
+    #: Builds are pruned by name up to this many; beyond, the join with the log alone tells.
+    PRUNED = 1000
 
     def __init__(self, spark: SparkSession, path: str, config: RetrievalConfig = DEFAULT) -> None:
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
 
-    def version(self) -> str | None:
+    def _log(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.parquet(f"{self.path}/current").orderBy(F.desc("seq")).limit(1).collect()
+            return self.spark.read.parquet(f"{self.path}/log")
         except Exception as e:  # no index yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
-        return rows[0]["version"] if rows else None
 
-    def table(self, name: str) -> DataFrame | None:
-        version = self.version()
-        return self.spark.read.parquet(f"{self.path}/{version}/{name}") if version else None
+    def current(self) -> DataFrame | None:
+        """(doc_id, build) of the documents that the index holds."""
+        log = self._log()
+        if log is None:
+            return None
+        return log.groupBy("doc_id").agg(F.max_by("build", "seq").alias("build")).filter(F.col("build").isNotNull())
+
+    def table(self, name: str, docs: DataFrame | None = None) -> DataFrame | None:
+        """A table of the documents that the index holds; of docs (doc_id) only, if given."""
+        live = self.current()
+        if live is None:
+            return None
+        live = live.join(docs.select("doc_id").distinct(), "doc_id", "left_semi") if docs is not None else live
+        builds = [r["build"] for r in live.select("build").distinct().limit(self.PRUNED + 1).collect()]
+        every = self.spark.read.parquet(f"{self.path}/{name}")
+        if len(builds) <= self.PRUNED:
+            every = every.filter(F.col("build").isin(builds))
+        return every.join(lexical.small(live), ["doc_id", "build"], "left_semi").drop("build")
+
+    def _append_log(self, rows: DataFrame) -> None:
+        log = self._log()
+        seq = (log.agg(F.max("seq").alias("s")).first()["s"] or 0) + 1 if log is not None else 1
+        rows.select("doc_id", "build").withColumn("seq", F.lit(seq).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def build(self, files: DataFrame, pages: DataFrame, now: float, provider=None, extractor: str = "table", dim: int = 0, force: bool = False) -> int:
         """Build what isn't fresh of files (doc_id, size, mtime_ns), keep the rest, publish. Returns the number of documents built."""
         model = provider.name if provider else "none"
-        old = {t: self.table(t) for t in self.TABLES}
-        wanted = to_build(files, meta_map(old["meta"]), now, model, extractor, force, self.config) if old["meta"] is not None else files
+        old = self.table("meta", files)
+        wanted = to_build(files, meta_map(old), now, model, extractor, force, self.config) if old is not None else files
         wanted = wanted.select("doc_id", "size", "mtime_ns").persist()
         try:
             n = wanted.count()
             if not n:
                 return 0
-            version = uuid.uuid4().hex
-            new_pages = pages.join(wanted.select("doc_id"), "doc_id", "left_semi")
+            build = uuid.uuid4().hex
+            new_pages = pages.join(lexical.small(wanted.select("doc_id")), "doc_id", "left_semi")
             passages = chunking.passages(new_pages, self.config)
             vectors = provider.vectors(passages) if provider else passages.withColumn("vec", F.lit(None).cast("array<float>"))
-            made = {"pages": new_pages, "passages": vectors}
-            for name in ("pages", "passages"):
-                self._write(made[name], old[name], wanted, version, name)
-            stored = self.spark.read.parquet(f"{self.path}/{version}/passages").join(wanted.select("doc_id"), "doc_id", "left_semi")
-            self._write(lexical.postings(stored, KEYS, stemmed=False), old["postings"], wanted, version, "postings")
-            self._write(meta_rows(wanted, stored, new_pages, model, extractor, dim, now), old["meta"], wanted, version, "meta")
-            seq = int(now * 1000)
-            self.spark.createDataFrame([(seq, version)], "seq long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
+            self._write(new_pages, "pages", build)
+            self._write(vectors, "passages", build)
+            stored = self.spark.read.parquet(f"{self.path}/passages/build={build}")
+            self._write(lexical.postings(stored, KEYS, stemmed=False), "postings", build)
+            self._write(meta_rows(wanted, stored, new_pages, model, extractor, dim, now), "meta", build)
+            self._append_log(wanted.withColumn("build", F.lit(build)))
             return n
         finally:
             wanted.unpersist()
 
-    def _write(self, new: DataFrame, old: DataFrame | None, built: DataFrame, version: str, name: str) -> None:
-        if old is not None:
-            new = new.unionByName(old.join(built.select("doc_id"), "doc_id", "left_anti").select(*new.columns))
-        new.write.parquet(f"{self.path}/{version}/{name}")
+    def _write(self, rows: DataFrame, name: str, build: str) -> None:
+        rows.write.parquet(f"{self.path}/{name}/build={build}")
 
     def clear(self, now: float, expired_only: bool = False) -> int:
         """Drop all documents, or those whose index has expired. Returns how many went."""
@@ -120,10 +143,21 @@ class Index:
         try:
             n = gone.count()
             if n:
-                version = uuid.uuid4().hex
-                for name in self.TABLES:
-                    self.table(name).join(gone, "doc_id", "left_anti").write.parquet(f"{self.path}/{version}/{name}")
-                self.spark.createDataFrame([(int(now * 1000), version)], "seq long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
+                self._append_log(gone.withColumn("build", F.lit(None).cast("string")))
             return n
         finally:
             gone.unpersist()
+
+    def compact(self) -> None:
+        """Write what the index holds as one build. Folders of earlier builds are no longer read, and may be deleted once no reader is left."""
+        live = self.current()
+        if live is None:
+            return
+        build = uuid.uuid4().hex
+        live = live.select("doc_id").persist()
+        try:
+            for name in self.TABLES:
+                self._write(self.table(name), name, build)
+            self._append_log(live.withColumn("build", F.lit(build)))
+        finally:
+            live.unpersist()

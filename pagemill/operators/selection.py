@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RetrievalConfig
 from ..functions import text as T
-from .lexical import small
+from .lexical import SMALL_ROWS, local, small
+from .semantic import dot
 
 
 def dedup(ranked: DataFrame, threshold: float = DEFAULT.near_duplicate) -> DataFrame:
@@ -68,17 +69,24 @@ def anchors(pages: DataFrame, outline: DataFrame | None = None, config: Retrieva
     return first.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("at")).cast("long")).filter(F.col("rank") <= config.anchors).select("doc_id", "rank", "anchor")
 
 
-def sentence_rows(chunks: DataFrame, keys: list[str], terms: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """(*keys, idx, sentence, n_words, score) of chunks of more than trim_from_words words; score: distinct terms in the sentence.
+def sentence_rows(chunks: DataFrame, keys: list[str], terms: DataFrame, config: RetrievalConfig = DEFAULT, provider=None, asked: list | None = None) -> DataFrame:
+    """(*keys, idx, sentence, n_words, score) of chunks of more than trim_from_words words; keys include query_id.
 
-    keys include query_id; terms is (query_id, term).
+    score: distinct terms (query_id, term) in the sentence. With a provider and the
+    questions' vectors, the product of the sentence's vector and its question's instead.
     """
     long = chunks.filter(F.size(T.words(F.col("text"))) > config.trim_from_words)
-    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))
-    every = long.join(small(asked), "query_id", "left").select(*keys, "_terms", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    idx, n_words = F.col("idx").cast("long").alias("idx"), F.size(T.words(F.col("sentence"))).cast("long").alias("n_words")
+    if provider is not None and asked is not None:
+        every = long.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("idx", "text"))
+        asked_ = local(chunks.sparkSession, asked, "query_id long, _q array<double>")
+        met = provider.vectors(every).join(F.broadcast(asked_) if len(asked) <= SMALL_ROWS else asked_, "query_id", "left").withColumnRenamed("text", "sentence")
+        return met.select(*keys, idx, "sentence", n_words, F.coalesce(F.round(dot(F.col("vec"), F.col("_q")), 6), F.lit(0.0)).alias("score"))
+    words = terms.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))
+    every = long.join(small(words), "query_id", "left").select(*keys, "_terms", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
     none = F.array().cast("array<string>")
     score = F.size(F.array_intersect(F.coalesce("_terms", none), F.array_distinct(T.tokens(F.col("sentence"))))).cast("double")
-    return every.select(*keys, F.col("idx").cast("long").alias("idx"), "sentence", F.size(T.words(F.col("sentence"))).cast("long").alias("n_words"), score.alias("score"))
+    return every.select(*keys, idx, "sentence", n_words, score.alias("score"))
 
 
 def kept_sentences(rows: DataFrame, keys: list[str], config: RetrievalConfig = DEFAULT) -> DataFrame:
@@ -124,11 +132,11 @@ def joined_islands(runs: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, F.concat(head, body, tail).alias("trimmed"))
 
 
-def trimmed(chunks: DataFrame, keys: list[str], terms: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
+def trimmed(chunks: DataFrame, keys: list[str], terms: DataFrame, config: RetrievalConfig = DEFAULT, provider=None, asked: list | None = None) -> DataFrame:
     """chunks with out_text: the answering sentences of long chunks, short ones whole."""
     if not config.trim:
         return chunks.withColumn("out_text", F.col("text"))
-    cut = joined_islands(islands(kept_sentences(sentence_rows(chunks, keys, terms, config), keys, config), keys), keys)
+    cut = joined_islands(islands(kept_sentences(sentence_rows(chunks, keys, terms, config, provider, asked), keys, config), keys), keys)
     return chunks.join(cut, keys, "left").withColumn("out_text", F.coalesce("trimmed", "text")).drop("trimmed")
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 class Provider(Protocol):
     name: str
@@ -55,6 +57,26 @@ class EncoderProvider:
         return df.withColumn("vec", encode("text"))
 
 
+class HashingProvider:
+    """Vectors without a model: tokens counted in `dim` places by a hash, of length 1. All of it are column functions.
+
+    Texts are near if they share words, whatever their order; for tests, and where no encoder is at hand.
+    """
+
+    def __init__(self, dim: int = 64) -> None:
+        self.dim, self.name = dim, f"hashing-{dim}"
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        place = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % self.dim
+        places = F.transform(T.raw_tokens(F.coalesce("text", F.lit(""))), place)
+        zero = F.array(*[F.lit(0)] * self.dim)
+        counts = F.map_from_entries(F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("k"), F.size(F.filter("_p", lambda q: q == p)).alias("v"))))
+        out = df.withColumn("_p", places).withColumn("_c", counts)
+        length = F.sqrt(F.aggregate(F.map_values("_c"), F.lit(0.0), lambda s, n: s + n * n))
+        vec = F.transform(zero, lambda x, i: F.coalesce(F.try_element_at("_c", i), x) / F.greatest(length, F.lit(1.0)))
+        return out.withColumn("vec", vec.cast("array<float>")).drop("_p", "_c")
+
+
 class Sticky:
     """A provider that is made once; if that fails, None from then on, and the reason is kept."""
 
@@ -77,6 +99,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def encoded(units: DataFrame, provider: Provider) -> DataFrame:
+    """units with vec: as they have it, else by the provider."""
+    return units if "vec" in units.columns else provider.vectors(units)
+
+
+def asked_vectors(questions: DataFrame, provider: Provider) -> list[tuple[int, list[float]]]:
+    """(query_id, vector) of the questions, a bounded set."""
+    rows = provider.vectors(questions.select("query_id", "text")).select("query_id", "vec").collect()
+    return [(r["query_id"], [float(x) for x in r["vec"]]) for r in rows if r["vec"] is not None]
+
+
+def passage_cosines(passages: DataFrame, asked: list[tuple[int, list[float]]]) -> DataFrame:
+    """(query_id, doc_id, passage_id, sem) of passages (doc_id, passage_id, vec) that have a vector."""
+    keyed = passages.filter(F.col("vec").isNotNull()).select(F.struct("doc_id", "passage_id").alias("_k"), "vec")
+    return cosines(keyed, "_k", asked).select("query_id", "_k.doc_id", "_k.passage_id", "sem")
+
+
 def cosines(vectors: DataFrame, key: str, questions: list[tuple[int, list[float]]]) -> DataFrame:
     """(query_id, key, sem) for the vectors of a table (key, vec) and each question's unit vector; null for null, negative ones 0.
 

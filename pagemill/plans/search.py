@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RetrievalConfig
 from ..functions import text as T
-from ..operators import chunking, fusion, inspection, lexical, resolver, selection, session
+from ..operators import chunking, fusion, inspection, lexical, resolver, selection, semantic, session
+from ..operators.index import Index
 from ..operators.lexical import SMALL_ROWS, local, small
 
 KEYS = ["doc_id", "page", "passage_id"]
@@ -71,15 +73,14 @@ def picked(passages: DataFrame, questions: DataFrame, scored: DataFrame, config:
             order = fusion.W.partitionBy("query_id").orderBy("rank")
             best = kept.withColumn("_n", F.row_number().over(order)).join(small(left), "query_id").filter(F.col("_n") <= F.col("k"))
             best = best.select("query_id", F.col("_n").cast("long").alias("rank"), "doc_id", "page", "passage_id", "score", "text", "k")
-            rows = best.collect()  # k rows of each question, 20 at most
-            done = local(best.sparkSession, rows, best.schema)
+            done = lexical.kept(best)  # k rows of each question; texts stay on the executors
             full = scored.groupBy("query_id").agg(F.count("*").alias("all")).filter(F.col("all") > head).select("query_id")
             short = left.join(done.groupBy("query_id").agg(F.count("*").alias("got")), "query_id", "left").filter(F.coalesce("got", F.lit(0)) < F.col("k")).join(full, "query_id", "left_semi").select("query_id", "k")
-            again = [tuple(r) for r in short.collect()]
+            short = lexical.kept(short)
             done = done.drop("k")
-            if not again:
+            if not short.limit(1).count():
                 return done if out is None else out.unionByName(done)
-            left = local(best.sparkSession, again, left.schema)
+            left = short
             done = done.join(left.select("query_id"), "query_id", "left_anti")
             out = done if out is None else out.unionByName(done)
             head *= 2
@@ -87,11 +88,18 @@ def picked(passages: DataFrame, questions: DataFrame, scored: DataFrame, config:
         scored.unpersist()
 
 
-def search(passages: DataFrame, questions: DataFrame, sem: DataFrame | None = None, config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """(query_id, rank, doc_id, page, passage_id, score, block): the cited blocks of each answer, within its budget."""
+def search(passages: DataFrame, questions: DataFrame, sem: DataFrame | None = None, config: RetrievalConfig = DEFAULT, provider=None) -> DataFrame:
+    """(query_id, rank, doc_id, page, passage_id, score, block): the cited blocks of each answer, within its budget.
+
+    With a provider, passages are scored by their own vectors (their column vec, or
+    made now) and long ones are trimmed to the sentences nearest to the question.
+    """
+    asked = semantic.asked_vectors(questions, provider) if provider is not None else None
+    if asked is not None:
+        sem = lexical.kept(semantic.passage_cosines(semantic.encoded(passages, provider), asked))
     best = picked(passages, questions, hybrid(passages, questions, sem, config), config)
     terms = lexical.question_terms(questions, config).select("query_id", "term")
-    cut = selection.trimmed(best, ["query_id", "rank"], terms, config)
+    cut = selection.trimmed(best, ["query_id", "rank"], terms, config, provider, asked)
     blocks = cut.withColumn("block", T.envelope(F.col("doc_id"), F.col("page"), F.col("out_text"), config.sanitize))
     return selection.within_budget(blocks.select("query_id", "rank", "doc_id", "page", "passage_id", "score", "block"), config.response_chars).drop("used")
 
@@ -130,13 +138,50 @@ def selected_pages(pages: DataFrame, top: DataFrame, config: RetrievalConfig = D
     return near.groupBy("query_id", "doc_id", "page").agg(F.bool_or("xref").alias("xref"))
 
 
-def slice_text(pages: DataFrame, top: DataFrame, config: RetrievalConfig = DEFAULT, follow_references: bool = True) -> DataFrame:
+def slice_text(pages: DataFrame, top: DataFrame, config: RetrievalConfig = DEFAULT, follow_references: bool = True, anchors: bool = False) -> DataFrame:
+    """(query_id, text): the pages of a slice in reading order, after the anchors of their documents if asked for."""
     chosen = selected_pages(pages, top, config, follow_references)
     chosen = lexical.kept(chosen)  # a few pages for each question
     met = pages.join(small(chosen), ["doc_id", "page"])
     head = F.concat(F.lit("----- [doc "), F.col("doc_id").cast("string"), F.lit(" page "), F.col("page").cast("string"), F.lit("]"), F.when(F.col("xref"), "  [cross-ref]").otherwise(""), F.lit(" -----\n"))
     block = met.withColumn("at", F.struct("doc_id", "page")).withColumn("block", F.concat(head, T.stripped(F.col("text"))))
-    return inspection.joined(block, ["query_id"], "at", F.col("block"), "\n\n", "text")
+    text = inspection.joined(block, ["query_id"], "at", F.col("block"), "\n\n", "text")
+    if not anchors:
+        return text
+    return text.join(anchor_part(pages, chosen, None, config), "query_id", "left").select("query_id", F.concat_ws("\n\n", "part", "text").alias("text"))
+
+
+def anchor_part(pages: DataFrame, chosen: DataFrame, outline: DataFrame | None = None, config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """(query_id, part): the headings and outline titles of the documents that a slice is of (query_id, doc_id)."""
+    docs = chosen.select("query_id", "doc_id").distinct()
+    found = selection.anchors(pages.join(small(docs.select("doc_id").distinct()), "doc_id", "left_semi"), outline, config)
+    lines = docs.join(found, "doc_id").withColumn("at", F.struct("doc_id", "rank"))
+    body = inspection.joined(lines, ["query_id"], "at", F.concat(F.lit("- "), "anchor"), "\n", "body")
+    return body.select("query_id", F.concat(F.lit("## STRUCTURAL ANCHORS (outline / headings)\n"), "body").alias("part"))
+
+
+def passage_blocks(passages: DataFrame, scored: DataFrame, config: RetrievalConfig = DEFAULT, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, page, passage_id, text): each question's best passages without near-duplicates, max(2 k, 6) of them at most."""
+    most = max(2 * (config.k if k is None else k), 6)
+    asked = scored.select("query_id").distinct().withColumn("k", F.lit(most))
+    return picked(passages, asked, scored, config).select("query_id", "doc_id", "page", "passage_id", "text")
+
+
+def passage_slice(pages: DataFrame, passages: DataFrame, scored: DataFrame, config: RetrievalConfig = DEFAULT, anchors: bool = True, follow_references: bool = True) -> DataFrame:
+    """(query_id, text): the tightest slice. Anchors, then passages in reading order, then the pages that the best pages refer to."""
+    best = lexical.kept(passage_blocks(passages, scored, config))
+    head = lambda tail: F.concat(F.lit("----- [doc "), F.col("doc_id").cast("string"), F.lit(" page "), F.col("page").cast("string"), F.lit(tail))
+    parts = best.select("query_id", F.struct(F.lit(1).alias("o"), F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("text").alias("t")).alias("at"), F.concat(head(" | passage] -----\n"), T.stripped(F.col("text"))).alias("part"))
+    if follow_references:
+        top = fusion.top_pages(fusion.page_scores(scored), config.k).select("query_id", "doc_id", "page")
+        refs = selection.xref_pages(pages, top, config).select("query_id", "doc_id", F.col("target").alias("page")).distinct()
+        met = pages.join(small(refs), ["doc_id", "page"])
+        parts = parts.unionByName(met.select("query_id", F.struct(F.lit(2).alias("o"), F.col("doc_id").alias("d"), F.col("page").alias("p"), F.lit("").alias("t")).alias("at"), F.concat(head("]  [cross-ref] -----\n"), T.stripped(F.col("text"))).alias("part")))
+    text = inspection.joined(parts, ["query_id"], "at", F.col("part"), "\n\n", "text")
+    if anchors:
+        named = anchor_part(pages, best, None, config)
+        text = text.join(named, "query_id", "left").select("query_id", F.concat_ws("\n\n", "part", "text").alias("text"))
+    return text
 
 
 class RetrievalSession:
@@ -144,21 +189,41 @@ class RetrievalSession:
 
     files: (path, name, parent, size, mtime_ns, title, author, subject); pages:
     (path, page, text). The catalog is a small driver-side map of document ids to paths;
-    texts stay in DataFrames.
+    texts stay in DataFrames. provider, a Provider or a Sticky of one, encodes
+    passages when they are ingested, and questions and sentences in a search; without
+    one, or if its model fails, scores are of keywords only. index keeps passages and
+    vectors on disk; a document whose index is fresh is neither cut nor encoded again.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, pages: DataFrame, roots: list[str] | None = None, config: RetrievalConfig | None = None) -> None:
+    def __init__(self, spark: SparkSession, files: DataFrame, pages: DataFrame, roots: list[str] | None = None, config: RetrievalConfig | None = None, provider=None, index: Index | None = None) -> None:
         self.spark, self.config, self.roots = spark, config or RetrievalConfig.of(spark), roots or []
         self.files = files.filter(resolver.allowed(F.col("path"), self.roots))
         self.pages = pages
+        self.sticky = provider if isinstance(provider, semantic.Sticky) else semantic.Sticky(lambda: provider)
+        self.index = index
         self.loaded: dict[str, dict] = {}
         self.totals = {"searches": 0, "chunks": 0, "actual_tokens": 0, "naive_tokens": 0, "saved_tokens": 0}
 
+    def _drop(self, gone) -> None:
+        for d in list(gone):
+            self.loaded.pop(d)["passages"].unpersist()
+
     def _evict(self) -> None:
         limit = self.config.ttl_minutes * 60
         if limit > 0:
             now = time.time()
-            self.loaded = {k: v for k, v in self.loaded.items() if now - v["touched"] <= limit}
+            self._drop([k for k, v in self.loaded.items() if now - v["touched"] > limit])
+
+    def _passages(self, row, mine: DataFrame) -> tuple[DataFrame, str]:
+        """A file's passages (passage_id, page, text, vec), and where they are from."""
+        provider = self.sticky.get()
+        if provider is None:
+            return chunking.passages(mine, self.config).withColumn("vec", F.lit(None).cast("array<float>")), "keywords only"
+        if self.index is None:
+            return provider.vectors(chunking.passages(mine, self.config)), "encoded"
+        file = local(self.spark, [(row["path"], row["size"], row["mtime_ns"])], "doc_id string, size long, mtime_ns long")
+        built = self.index.build(file, mine, time.time(), provider)
+        return self.index.table("passages", file), "encoded" if built else "reused index"
 
     def ingest(self, path: str) -> str:
         if self.roots and not any(path == r or path.startswith(r.rstrip("/") + "/") for r in self.roots):
@@ -166,19 +231,25 @@ class RetrievalSession:
         rows = self.files.filter(F.col("path") == path).limit(1).collect()
         if not rows:
             return f"ERROR: no such file: {path}"
-        mine = self.pages.filter(F.col("path") == path).select(F.col("path").alias("doc_id"), F.col("page").cast("long").alias("page"), "text")
-        n = chunking.passages(mine, self.config).agg(F.count("*").alias("n"), F.max("page").alias("p")).first()
         name = rows[0]["name"]
+        mine = self.pages.filter(F.col("path") == path).select(F.col("path").alias("doc_id"), F.col("page").cast("long").alias("page"), "text")
+        passages, source = self._passages(rows[0], mine)
+        passages = passages.select("passage_id", "page", "text", "vec").persist()
+        n = passages.agg(F.count("*").alias("n"), F.max("page").alias("p")).first()
         if not n["n"]:
+            passages.unpersist()
             return f"'{name}' has no extractable text."
         self._evict()
         doc_id = next((d for d, v in self.loaded.items() if v["path"] == path), None)
         if doc_id is None:
             digest = self.spark.range(1).select(F.left(F.sha2(F.lit(path), 256), F.lit(6)).alias("h")).first()["h"]
             doc_id = name if name not in self.loaded else f"{name}#{digest}"
-        naive = session.naive_tokens(mine).first()["naive_tokens"]
-        self.loaded[doc_id] = {"path": path, "touched": time.time(), "naive": naive, "chunks": n["n"]}
-        return f"ingested '{name}': {n['p']} pages -> {n['n']} chunks"
+        else:
+            self.loaded[doc_id]["passages"].unpersist()
+        units = passages.withColumn("doc_id", F.lit(doc_id))
+        naive = (session.naive_tokens_of_passages(units, self.config) if source == "reused index" else session.naive_tokens(mine)).first()["naive_tokens"]
+        self.loaded[doc_id] = {"path": path, "touched": time.time(), "naive": naive, "chunks": n["n"], "passages": passages}
+        return f"ingested '{name}' ({source}): {n['p']} pages -> {n['n']} chunks"
 
     def _scope(self, doc_id: str) -> dict[str, dict]:
         if not doc_id:
@@ -194,13 +265,13 @@ class RetrievalSession:
             return f"No loaded document matches '{doc_id}'." if doc_id and self.loaded else "No documents loaded."
         for v in chosen.values():
             v["touched"] = time.time()
-        ids = local(self.spark, [(d, v["path"]) for d, v in chosen.items()], "doc_id string, path string")
-        pages = self.pages.join(F.broadcast(ids), "path").select("doc_id", F.col("page").cast("long").alias("page"), "text")
-        passages = chunking.passages(pages, self.config)
+        each = [v["passages"].select(F.lit(d).alias("doc_id"), "passage_id", "page", "text", "vec") for d, v in chosen.items()]
+        passages = functools.reduce(DataFrame.unionByName, each)
         questions = local(self.spark, [(1, query, int(k))], "query_id long, text string, k int")
-        blocks = search(passages, questions, None, self.config)
+        provider = self.sticky.get()
+        blocks = search(passages, questions, None, self.config, provider)
         missing = lexical.missing_terms(passages, KEYS, questions, self.config)
-        row = responses(blocks, questions, missing, sum(v["naive"] for v in chosen.values()), True, self.config).first()
+        row = responses(blocks, questions, missing, sum(v["naive"] for v in chosen.values()), provider is None, self.config).first()
         lexical.release()
         if row["answered"]:
             for key in ("chunks", "actual_tokens", "naive_tokens"):
@@ -249,10 +320,10 @@ class RetrievalSession:
     def clear(self, doc_id: str = "") -> str:
         if doc_id:
             gone = self._scope(doc_id)
-            self.loaded = {d: v for d, v in self.loaded.items() if d not in gone}
+            self._drop(gone)
             return f"cleared {len(gone)} document(s)"
         n = len(self.loaded)
-        self.loaded = {}
+        self._drop(self.loaded)
         self.totals = dict.fromkeys(self.totals, 0)
         return f"cleared all {n} document(s) and the savings"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -507,6 +508,69 @@ def search_topk(t):
     return P.search(t.stored, t.questions, t.sem).select("query_id", "rank", "doc_id", "page", "block")
 
 
+# --- searches by vectors of passages and sentences ---------------------------------
+
+ENCODER = semantic.HashingProvider(64)
+
+
+def _vectors(of: str, columns: str, text: str, name: str) -> str:
+    """The rows of a relation with HashingProvider's vector of a text."""
+    places = f"SELECT *, list_transform({S.raw(text)}, lambda w: ('0x' || left(md5(w), 6))::BIGINT % 64) AS places FROM {of}"
+    counts = f"SELECT *, list_transform(range(64), lambda i: len(list_filter(places, lambda x: x = i))) AS counts FROM ({places})"
+    length = f"SELECT *, greatest(sqrt(list_sum(list_transform(counts, lambda n: n * n))), 1.0::DOUBLE) AS length_ FROM ({counts})"
+    return f"SELECT {columns}, list_transform(counts, lambda n: (n / length_)::FLOAT) AS {name} FROM ({length})"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"round(list_inner_product({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
+
+
+S.PARTS["v_q"] = _vectors("q", "query_id", "text", "qv")
+S.PARTS["v_p"] = _vectors("passages_", "doc_id, passage_id, page, text", "text", "vec")
+S.PARTS["v_dense"] = f"SELECT v_q.query_id, p.doc_id, p.page, p.passage_id, coalesce(kw.kw, 0)::DOUBLE AS kw, greatest({_dot('p.vec', 'qv')}, 0) AS sem FROM v_p p CROSS JOIN v_q LEFT JOIN kw ON kw.query_id = v_q.query_id AND kw.doc_id = p.doc_id AND kw.passage_id = p.passage_id"
+S.PARTS["v_norm"], S.PARTS["v_scored"] = S.NORM.format("v_dense"), S.SCORE.format("v_norm")
+for _part in ("ranked", "kept_all", "picked_", "chosen", "sents", "sent_core", "sent_base", "sent_turn", "sent_kept", "sent_runs", "sent_joined", "blocks_", "fitting"):
+    _body = S.PARTS[_part]
+    for _name in ("scored", "ranked", "kept_all", "picked_", "chosen", "sents", "sent_core", "sent_base", "sent_turn", "sent_kept", "sent_runs", "sent_joined", "blocks_"):
+        _body = re.sub(rf"(FROM|JOIN) {_name}\b", rf"\1 v_{_name}", _body)
+    S.PARTS[f"v_{_part}"] = _body
+S.PARTS["v_cut"] = f"SELECT query_id, rank, unnest(s) AS sentence, unnest(range(len(s))) AS idx FROM (SELECT *, {S.sentences('text')} AS s FROM v_chosen WHERE len(regexp_extract_all(text, '\\S+')) > 60)"
+S.PARTS["v_sv"] = _vectors("v_cut", "query_id, rank, idx, sentence", "sentence", "sv")
+S.PARTS["v_sents"] = f"SELECT query_id, rank, idx, sentence, len(regexp_extract_all(sentence, '\\S+')) AS n_words, {_dot('sv', 'qv')} AS score FROM v_sv JOIN v_q USING (query_id)"
+
+
+def _encoded(t):
+    return lexical.kept(ENCODER.vectors(t.stored))
+
+
+@query(f"SELECT doc_id, passage_id, round(list_sum(vec)::DOUBLE, 4) AS total, round(vec[1]::DOUBLE, 6) AS first FROM v_p")
+def passage_vectors(t):
+    return _encoded(t).select("doc_id", "passage_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT query_id, doc_id, passage_id, sem FROM v_dense")
+def passage_cosines(t):
+    return semantic.passage_cosines(_encoded(t), semantic.asked_vectors(t.questions, ENCODER))
+
+
+@query("SELECT query_id, doc_id, page, passage_id, kw, sem, score FROM v_scored WHERE score > 0")
+def hybrid_vectors(t):
+    found = P.hybrid(t.stored, t.questions, semantic.passage_cosines(_encoded(t), semantic.asked_vectors(t.questions, ENCODER)))
+    return found.filter("score > 0").select("query_id", "doc_id", "page", "passage_id", "kw", "sem", "score")
+
+
+@query("SELECT query_id, rank, idx, sentence, n_words, score FROM v_sents")
+def sentence_scores_vectors(t):
+    asked = semantic.asked_vectors(t.questions, ENCODER)
+    best = P.picked(t.stored, t.questions, P.hybrid(t.stored, t.questions, semantic.passage_cosines(_encoded(t), asked)))
+    return selection.sentence_rows(best, RANKED, _terms(t), provider=ENCODER, asked=asked)
+
+
+@query("SELECT query_id, rank, doc_id, page, block FROM v_fitting")
+def search_vectors(t):
+    return P.search(_encoded(t), t.questions, provider=ENCODER).select("query_id", "rank", "doc_id", "page", "block")
+
+
 S.PARTS["lost_"] = "SELECT query_id, string_agg(DISTINCT term, ', ' ORDER BY term) AS lost FROM qt WHERE term NOT IN (SELECT term FROM ptf) GROUP BY 1"
 S.PARTS["naive_"] = f"SELECT doc_id, sum({S.count_tokens('text')})::BIGINT AS naive_tokens FROM pages_ GROUP BY 1"
 S.PARTS["answers"] = f"""SELECT query_id, body IS NOT NULL AS answered, coalesce({S.quoted(P.PREAMBLE)} || chr(10) || chr(10) || body || CASE WHEN lost IS NOT NULL THEN chr(10) || chr(10) || '(note: term(s) not found anywhere: ' || lost || ')' ELSE '' END,
@@ -529,6 +593,58 @@ def cli_slice(t):
     return P.slice_text(t.pages_x, _x_top(t))
 
 
+S.PARTS["anchors_"] = f"SELECT doc_id, rank, anchor FROM (SELECT doc_id, line AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY min(page * 1000 + i)) AS rank FROM (SELECT doc_id, page, {S.stripped('line')} AS line, i FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM pages_x)) WHERE regexp_matches(line, {S.quoted(S.HEADING)}) AND len(regexp_extract_all(line, '\\S+')) <= 10 GROUP BY doc_id, line) WHERE rank <= 40"
+_ANCHORS = "(SELECT query_id, '## STRUCTURAL ANCHORS (outline / headings)' || chr(10) || string_agg('- ' || anchor, chr(10) ORDER BY doc_id, rank) AS part FROM (SELECT DISTINCT query_id, doc_id FROM {}) JOIN anchors_ USING (doc_id) GROUP BY 1)"
+
+
+@query(f"SELECT query_id, coalesce(part || chr(10) || chr(10), '') || t.text AS text FROM (SELECT s.query_id, string_agg('----- [doc ' || s.doc_id || ' page ' || s.page || ']' || CASE WHEN xref THEN '  [cross-ref]' ELSE '' END || ' -----' || chr(10) || {S.stripped('p.text')}, chr(10) || chr(10) ORDER BY s.doc_id, s.page) AS text FROM x_selected s JOIN pages_x p ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY 1) t LEFT JOIN {_ANCHORS.format('x_selected')} USING (query_id)")
+def cli_slice_anchors(t):
+    return P.slice_text(t.pages_x, _x_top(t), anchors=True)
+
+
+# passages of pages_x, asked so that references and headings are met
+X_QUESTIONS = [(1, "worthless disgusting orantion", 5), (2, "general payment terms section", 3), (3, "zzqxv unfindable", 5)]
+S.PARTS["y_q"] = S.values(X_QUESTIONS, "query_id, text, k")
+S.PARTS["y_qt"] = f"SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({S.terms('text')}) AS term FROM y_q) GROUP BY ALL"
+for _part, _from in (("page_words", "pages_"), ("passages_", "page_words"), ("ptok", "passages_"), ("plen", "passages_"), ("pstat", "plen")):
+    S.PARTS[f"y_{_part}"] = S.PARTS[_part].replace(f"FROM {_from}", f"FROM {'pages_x' if _from == 'pages_' else 'y_' + _from}")
+S.PARTS["y_ptf"] = "SELECT doc_id, page, passage_id, term, count(*) AS tf FROM y_ptok WHERE term IN (SELECT term FROM y_qt) GROUP BY ALL"
+S.PARTS["y_kw"] = "SELECT query_id, doc_id, page, passage_id, score AS kw FROM (" + S.bm25("doc_id, page, passage_id", "y_ptf", "y_plen", "y_pstat").replace("JOIN qt", "JOIN y_qt") + ")"
+S.PARTS["y_dense"] = "SELECT y_q.query_id, p.doc_id, p.page, p.passage_id, coalesce(kw, 0)::DOUBLE AS kw, 0::DOUBLE AS sem FROM y_passages_ p CROSS JOIN y_q LEFT JOIN y_kw k ON k.query_id = y_q.query_id AND k.doc_id = p.doc_id AND k.passage_id = p.passage_id"
+S.PARTS["y_norm"], S.PARTS["y_scored"] = S.NORM.format("y_dense"), S.SCORE.format("y_norm")
+S.PARTS["y_ranked"] = S.PARTS["ranked"].replace("FROM scored", "FROM y_scored")
+S.PARTS["y_kept_all"] = S.PARTS["kept_all"].replace("FROM ranked", "FROM y_ranked").replace("JOIN passages_", "JOIN y_passages_")
+S.PARTS["y_best"] = "SELECT query_id, doc_id, page, passage_id, text FROM (SELECT k.query_id, k.doc_id, r.page, r.passage_id, t.text, row_number() OVER (PARTITION BY k.query_id ORDER BY r.rank) AS n FROM y_kept_all k JOIN y_ranked r ON r.query_id = k.query_id AND r.doc_id = k.doc_id AND r.rank = k.rank JOIN y_passages_ t ON t.doc_id = r.doc_id AND t.passage_id = r.passage_id) WHERE n <= 10"
+S.PARTS["y_top"] = "SELECT query_id, doc_id, page FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS rank FROM (SELECT query_id, doc_id, page, max(score) AS score FROM y_scored GROUP BY ALL HAVING max(score) > 0)) WHERE rank <= 5"
+S.PARTS["y_refs"], S.PARTS["y_found"] = S.PARTS["x_refs"].replace("FROM x_top", "FROM y_top"), S.PARTS["x_found"].replace("x_refs", "y_refs")
+S.PARTS["y_parts"] = f"""SELECT query_id, 1 AS o, doc_id, page, text AS t, '----- [doc ' || doc_id || ' page ' || page || ' | passage] -----' || chr(10) || {S.stripped('text')} AS part FROM y_best
+  UNION ALL SELECT f.query_id, 2, f.doc_id, f.page, '', '----- [doc ' || f.doc_id || ' page ' || f.page || ']  [cross-ref] -----' || chr(10) || {S.stripped('p.text')} FROM (SELECT DISTINCT query_id, doc_id, page FROM y_found) f JOIN pages_x p ON p.doc_id = f.doc_id AND p.page = f.page"""
+
+
+def _x_scored(t):
+    passages = lexical.kept(chunking.passages(t.pages_x).select("doc_id", "passage_id", "page", "text"))
+    return passages, lexical.kept(P.hybrid(passages, lexical.local(t.spark, X_QUESTIONS, "query_id long, text string, k int")))
+
+
+@query("SELECT query_id, doc_id, page, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, page, text) AS place FROM y_best")
+def passage_reading_order(t):
+    passages, scored = _x_scored(t)
+    order = W.partitionBy("query_id").orderBy("doc_id", "page", "text")
+    return P.passage_blocks(passages, scored).withColumn("place", F.row_number().over(order).cast("long")).drop("text")
+
+
+@query("SELECT DISTINCT query_id, doc_id, page FROM y_found")
+def passage_xrefs(t):
+    _, scored = _x_scored(t)
+    top = fusion.top_pages(fusion.page_scores(scored)).select("query_id", "doc_id", "page")
+    return selection.xref_pages(t.pages_x, top).select("query_id", "doc_id", F.col("target").alias("page")).distinct()
+
+
+@query(f"SELECT query_id, coalesce(a.part || chr(10) || chr(10), '') || t.text AS text FROM (SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY o, doc_id, page, t) AS text FROM y_parts GROUP BY 1) t LEFT JOIN {_ANCHORS.format('y_best')} a USING (query_id)")
+def passage_slice(t):
+    return P.passage_slice(t.pages_x, *_x_scored(t))
+
+
 _LINES = "string_split(text, chr(10))"
 
 
