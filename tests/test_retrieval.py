@@ -220,7 +220,7 @@ def test_session(spark):
     s = P.RetrievalSession(spark, files, pages, roots=["/r"])
     assert s.search("zebra").startswith("No documents loaded")
     assert s.ingest("/out/secret.pdf").startswith("ERROR") and s.ingest("/r/none.pdf").startswith("ERROR")
-    assert s.ingest("/r/lease-agreement.pdf") == "ingested 'lease-agreement.pdf': 2 pages -> 2 chunks"
+    assert s.ingest("/r/lease-agreement.pdf") == "ingested 'lease-agreement.pdf' (keywords only): 2 pages -> 2 chunks"
     s.ingest("/r/sub/lease-agreement.pdf")
     assert len(s.loaded) == 2 and any("#" in d for d in s.loaded)
     answer = s.search("zebra deposits")
@@ -283,6 +283,52 @@ def test_index_is_built_once_and_expires(spark, tmp_path):
     assert made.build(changed, pages, now=1003.0, force=True) == 2
 
 
+def test_index_builds_append_and_compact(spark, tmp_path):
+    folder = tmp_path / "index"
+    stamp = lambda: {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    made = index.Index(spark, str(folder))
+    pages = spark.createDataFrame([(d, 1, f"text of {d}") for d in "abc"], "doc_id string, page long, text string")
+    files = spark.createDataFrame([(d, 1, 1) for d in "abc"], "doc_id string, size long, mtime_ns long")
+    assert made.build(files.filter("doc_id = 'a'"), pages, now=1.0) == 1
+    before = stamp()
+    assert made.build(files, pages, now=2.0) == 2
+    assert before.items() <= stamp().items()  # nothing that was there is written again
+    newer = pages.withColumn("text", F.concat(F.lit("new "), "text"))
+    assert made.build(files.filter("doc_id = 'b'").withColumn("size", F.lit(2)), newer, now=3.0) == 1
+    texts = lambda: {r["doc_id"]: r["text"] for r in made.table("pages").collect()}
+    assert texts() == {"a": "text of a", "b": "new text of b", "c": "text of c"}
+    assert [r["text"] for r in made.table("pages", files.filter("doc_id = 'b'")).collect()] == ["new text of b"]
+    made.compact()
+    assert texts() == {"a": "text of a", "b": "new text of b", "c": "text of c"} and made.current().select("build").distinct().count() == 1
+    assert made.clear(4.0) == 3 and texts() == {} and made.clear(5.0) == 0
+    assert made.build(files, pages, now=6.0) == 3
+
+
+def test_session_with_vectors_and_an_index(spark, tmp_path):
+    filler = " ".join(f"The {w} of the archive is listed here with its number and its date." for w in ("map", "letter", "seal", "ledger", "survey", "deed", "drawing"))
+    text = f"{filler} Zebras may be kept on the premises only with written consent. {filler}"
+    files = spark.createDataFrame([("/r/a.pdf", "a.pdf", "/r", 10, 1, "", "", "")], "path string, name string, parent string, size long, mtime_ns long, title string, author string, subject string")
+    pages = spark.createDataFrame([("/r/a.pdf", 1, text), ("/r/a.pdf", 2, "Deposits are returned after ninety days.")], "path string, page int, text string")
+    provider = semantic.HashingProvider(256)
+    made = index.Index(spark, str(tmp_path / "index"))
+    one = P.RetrievalSession(spark, files, pages, provider=provider, index=made)
+    assert "(encoded)" in one.ingest("/r/a.pdf")
+    answer = one.search("are zebras kept with written consent")
+    assert "Zebras may be kept" in answer and "keywords only" not in answer
+    assert answer.count("archive") <= 4  # trimmed to the sentences nearest to the question
+    two = P.RetrievalSession(spark, files, pages, provider=provider, index=made)
+    assert "(reused index)" in two.ingest("/r/a.pdf")
+    assert two.search("are zebras kept with written consent") == answer
+    assert "(encoded)" in P.RetrievalSession(spark, files.withColumn("size", F.lit(11).cast("long")), pages, provider=provider, index=made).ingest("/r/a.pdf")
+
+    def broken():
+        raise OSError("no model")
+
+    three = P.RetrievalSession(spark, files, pages, provider=semantic.Sticky(broken))
+    assert "(keywords only)" in three.ingest("/r/a.pdf") and "keywords only" in three.search("zebras")
+    assert "No relevant chunks" in one.search("qqq zzz")
+
+
 def test_catalog_and_ledger(spark):
     log = [(1, 1, "ingest", "a"), (2, 1, "ingest", "a#1"), (3, 1, "search", None), (4, 1, "clear", "a"), (5, 1, "ingest", "b"), (6, 1, "search", None), (7, 2, "ingest", "c"), (8, 2, "clear", None), (9, 1, "clear", None), (10, 1, "search", None), (11, 1, "ingest", "z")]
     rows = [(i, s, op, d, 100, 30 if i != 10 else 400, 2) for i, s, op, d in log]
