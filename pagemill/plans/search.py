@@ -151,6 +151,28 @@ def slice_text(pages: DataFrame, top: DataFrame, config: RetrievalConfig = DEFAU
     return text.join(anchor_part(pages, chosen, None, config), "query_id", "left").select("query_id", F.concat_ws("\n\n", "part", "text").alias("text"))
 
 
+def coverage(questions: DataFrame, top: DataFrame, selected: DataFrame, missing: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """(query_id, report): what a slice rests on. Terms, hits, all its pages, those that references led to, and warnings."""
+
+    def listed(rows: DataFrame, order, item, name: str) -> DataFrame:
+        return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct(order.alias("o"), item.alias("i")))), lambda x: x["i"]), ", ").alias(name))
+
+    at, shown = F.struct("doc_id", "page"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("page").cast("string"))
+    met = questions.select("query_id")
+    term = F.col("term")
+    for part in (
+        listed(lexical.question_terms(questions, config), term, term, "terms"), listed(top, at, shown, "tops"), listed(selected, at, shown, "pages"),
+        listed(selected.filter("xref"), at, shown, "refs"), listed(missing, term, term, "lost"),
+    ):
+        met = met.join(part, "query_id", "left")
+    lines = [
+        F.concat(F.lit("query terms: "), F.coalesce("terms", F.lit("(none)"))), F.concat(F.lit("top pages: "), F.coalesce("tops", F.lit("(no hits)"))), F.concat(F.lit("with neighbors: "), F.coalesce("pages", F.lit("(none)"))),
+        F.concat(F.lit("cross-refs: "), F.coalesce("refs", F.lit("(none found)"))), F.concat(F.lit("WARNING: terms that matched nothing: "), F.col("lost"), F.lit("; widen the search before trusting the answer")),
+        F.when(F.col("tops").isNull(), F.lit("WARNING: no page matched; abstain or widen")),
+    ]
+    return met.select("query_id", F.concat_ws("\n", *lines).alias("report"))
+
+
 def anchor_part(pages: DataFrame, chosen: DataFrame, outline: DataFrame | None = None, config: RetrievalConfig = DEFAULT) -> DataFrame:
     """(query_id, part): the headings and outline titles of the documents that a slice is of (query_id, doc_id)."""
     docs = chosen.select("query_id", "doc_id").distinct()

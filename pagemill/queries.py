@@ -602,6 +602,20 @@ def cli_slice_anchors(t):
     return P.slice_text(t.pages_x, _x_top(t), anchors=True)
 
 
+S.PARTS["cov_terms"] = "SELECT query_id, string_agg(DISTINCT term, ', ' ORDER BY term) AS terms FROM qt GROUP BY 1"
+S.PARTS["cov_lost"] = "SELECT query_id, string_agg(DISTINCT term, ', ' ORDER BY term) AS lost FROM qt WHERE term NOT IN (SELECT term FROM gtf) GROUP BY 1"
+S.PARTS["cov_tops"] = "SELECT query_id, string_agg(doc_id || ':' || page, ', ' ORDER BY doc_id, page) AS tops FROM (SELECT DISTINCT query_id, doc_id, page FROM x_top) GROUP BY 1"
+S.PARTS["cov_pages"] = "SELECT query_id, string_agg(doc_id || ':' || page, ', ' ORDER BY doc_id, page) AS pages, string_agg(CASE WHEN xref THEN doc_id || ':' || page END, ', ' ORDER BY doc_id, page) AS refs FROM x_selected GROUP BY 1"
+
+
+@query("""SELECT query_id, 'query terms: ' || coalesce(terms, '(none)') || chr(10) || 'top pages: ' || coalesce(tops, '(no hits)') || chr(10) || 'with neighbors: ' || coalesce(c.pages, '(none)') || chr(10) || 'cross-refs: ' || coalesce(refs, '(none found)')
+  || CASE WHEN lost IS NOT NULL THEN chr(10) || 'WARNING: terms that matched nothing: ' || lost || '; widen the search before trusting the answer' ELSE '' END || CASE WHEN tops IS NULL THEN chr(10) || 'WARNING: no page matched; abstain or widen' ELSE '' END AS report
+  FROM q LEFT JOIN cov_terms USING (query_id) LEFT JOIN cov_lost USING (query_id) LEFT JOIN cov_tops USING (query_id) LEFT JOIN cov_pages c USING (query_id)""")
+def coverage_report(t):
+    top = _x_top(t)
+    return P.coverage(t.questions, top, P.selected_pages(t.pages_x, top), lexical.missing_terms(t.pages, ["doc_id", "page"], t.questions))
+
+
 # passages of pages_x, asked so that references and headings are met
 X_QUESTIONS = [(1, "worthless disgusting orantion", 5), (2, "general payment terms section", 3), (3, "zzqxv unfindable", 5)]
 S.PARTS["y_q"] = S.values(X_QUESTIONS, "query_id, text, k")

@@ -12,6 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import __main__ as cli
 from pagemill.functions.tokencount import token_counter
 from pagemill.operators import semantic, session
 from pagemill.sources import pages as sources
@@ -255,3 +256,28 @@ def test_nothing_else_imports_the_training_data_operators():
             if name.endswith(".py"):
                 with open(os.path.join(folder, name)) as f:
                     assert not re.search(r"\bllm\b", f.read()), name
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "lease.pdf").write_bytes(written(["The lease begins in May, see section 3", "Rent and deposits", "3 Keys\nGENERAL TERMS\nKeys are returned at the end\n| key | 2 |"]))
+    (tmp_path / "broken.pdf").write_bytes(b"no pdf")
+
+    def said(*args):
+        code = cli.main([args[0], str(tmp_path), "--extractor", "builtin", *args[1:]], spark)
+        out = capsys.readouterr()
+        return code, out.out, out.err
+
+    assert said("files")[1] == "2 file(s)\nbroken.pdf\nlease.pdf\n"
+    code, out, _ = said("inspect")
+    assert code == 0 and "lease.pdf: 3 pages" in out and "broken.pdf: can't be read" in out and "lease.pdf p2: 17 characters  <- little text" in out
+    assert said("inspect", "--search", "KEYS")[1].startswith("lease.pdf p3: 3 Keys GENERAL")
+    assert said("inspect", "--pages", "2")[1] == "----- [page 2] -----\nRent and deposits\n"
+    assert said("inspect", "--tables")[1] == "lease.pdf p3 table 1: key | 2\n"
+    assert "lease.pdf chunk001_p1-2.txt" in said("inspect", "--blocks", "2")[1]
+    code, out, err = said("slice", "--query", "when does the lease begin", "--k", "1", "--anchors")
+    assert code == 0 and "[doc lease.pdf page 3]  [cross-ref]" in out and "- GENERAL TERMS" in out
+    assert "top pages: lease.pdf:1" in err and "cross-refs: lease.pdf:3" in err
+    code, out, err = said("slice", "--query", "zebra keys", "--passages")
+    assert code == 0 and "[doc lease.pdf page 3 | passage]" in out and "WARNING: terms that matched nothing: zebra" in err
+    code, out, err = said("slice", "--query", "zebra")
+    assert code == 1 and "WARNING: no page matched" in err
