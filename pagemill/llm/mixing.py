@@ -26,9 +26,10 @@ def word_count(text: str = "text") -> Column:
 
 
 def random_key(salt: int = 0) -> Column:
-    """32 hex digits from doc_id (and a salt, for another order); nulls share one key."""
+    """32 hex digits from doc_id, or the text where it is null (and a salt, for another order)."""
     suffix = f"#{salt}" if salt else ""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(suffix)).cast("binary"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return F.md5(F.concat(named, F.lit(suffix)).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -58,9 +59,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, text_key) of every row; the texts go no further."""
-    return docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_key"))
+def sized(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """(doc_id, source, size, text_key, key) of every row; the texts go no further."""
+    return docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_key"), random_key(salt).alias("key"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, salt: int = 0) -> DataFrame:
@@ -68,13 +69,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     taken = copies * size + part: whole copies, and words of one more, cut one.
     A source's taken words add up to the whole number below its target. The
-    order is by md5 of doc_id, ties (repeated doc_ids, nulls) by size and a
+    order is by md5 of doc_id (of the text, where it is null), ties by size and a
     hash of the text; rows that are equal in all of it are interchangeable. Null
     texts have size 0 and are taken 0 times; an empty table gives no rows.
     Other columns play no part.
     """
     ranges = 4 * partitions(docs.sparkSession)
-    rows = cut(sized(docs).withColumn("key", random_key(salt)).withColumn("range", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")))
+    rows = cut(sized(docs, salt).withColumn("range", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")))
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     by_source = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     begins = by_range.withColumn("begin", F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

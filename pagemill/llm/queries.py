@@ -48,7 +48,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op2_sharding"] = """
 WITH RECURSIVE d AS (
-  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS bits FROM documents
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS bits FROM documents
 ), b(depth, cell, shard_bytes, low, high) AS (
   SELECT 0, 0::BIGINT, sum(n_bytes)::BIGINT, min(bits), max(bits) FROM d HAVING count(*) > 0
   UNION ALL
@@ -121,7 +121,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op6_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS key
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
