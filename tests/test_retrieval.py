@@ -29,6 +29,8 @@ def tokens(text):
             w = w[:-3] + "y"
         elif w.endswith("ing") and len(w) >= 7:
             w = w[:-3]
+        elif w.endswith("ed") and len(w) >= 6:
+            w = w[:-2]
         elif w.endswith("s") and len(w) >= 5 and not w.endswith("ss"):
             w = w[:-1]
         out.append(w)
