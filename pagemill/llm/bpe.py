@@ -311,9 +311,10 @@ def frequent_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) ->
         if seen > words:
             break
         least = r["n"]
-    top = counted.filter(F.col("n") >= least).collect() if least else []
-    tok = Tokenizer(path)
-    return compile_lexicon({raw: tok.merge(raw) for r in top if (raw := r["word"].encode("utf-8", "replace"))})
+    top = counted.filter(F.col("n") >= least).select("word").toArrow().column(0).to_pylist() if least else []
+    top = [w for w in top if w]
+    ids = Tokenizer(path).encode_words(top).to_pylist()
+    return compile_lexicon(dict(zip((w.encode("utf-8", "replace") for w in top), ids, strict=True)))
 
 
 def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:

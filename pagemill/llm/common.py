@@ -21,10 +21,13 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's, or a temporary one where none is set (tests)."""
+    """The folder for checkpoints: the cluster's; where none is set, a temporary one, if all runs on one machine (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagemill-"))
     return sc.getCheckpointDir()
 
 
@@ -38,6 +41,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that (counting stops there), else joined by a shuffled hash."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
 def join_split(left: DataFrame, right: DataFrame, on: list[str], load: str, total: int, least: int = 1_000) -> DataFrame:
     """left joined with right, which has one row for each key; a key with many rows of left is dealt over several tasks.
 
@@ -110,17 +118,25 @@ def powers(n: int) -> np.ndarray:
 POWERS = powers(1 << 12)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[s:e] for each span: a polynomial mod 2^64, then mixed. Spans hold a value at least, ascend and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    begins = np.cumsum(lengths) - lengths
-    inside = np.zeros(len(values) + 1, dtype=np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    place = np.arange(lengths.sum()) - np.repeat(begins, lengths)
-    most = int(lengths.max())
-    up = POWERS if most <= len(POWERS) else powers(most)
-    terms = values[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)] * up[place]
-    return mix64(np.add.reduceat(terms, begins) + lengths.astype(np.uint64))
+#: Bytes whose spans are hashed at once: a byte takes some 50 bytes meanwhile.
+HASHED = 1 << 20
+
+
+def span_hashes(data: np.ndarray, table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of table[data[s:e]] for each span: a polynomial mod 2^64, then mixed. Spans hold a byte at least, ascend and don't overlap."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASHED, side="right")))
+        lo, hi = int(starts[first]), int(ends[last - 1])
+        begin, lengths = starts[first:last] - lo, ends[first:last] - starts[first:last]
+        inside = np.zeros(hi - lo + 1, dtype=np.int8)
+        inside[begin] += 1
+        inside[begin + lengths] -= 1
+        terms = table[data[lo:hi][np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]]
+        offsets = np.cumsum(lengths) - lengths
+        most = int(lengths.max())
+        terms *= (POWERS if most <= len(POWERS) else powers(most))[np.arange(len(terms)) - np.repeat(offsets, lengths)]
+        out[first:last] = mix64(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64))
+        first = last
+    return out

@@ -42,7 +42,7 @@ def sketches(texts: list[bytes], k: int = K, width: int = SHINGLE) -> list[np.nd
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text_end = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
     upto = np.searchsorted(starts, text_end)  # words before the end of each text
-    h = span_hashes(BYTE[LOWER[raw]], starts, ends)
+    h = span_hashes(raw, BYTE[LOWER], starts, ends)
     factors = place_factors(width)
     shingle = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
     for i in range(width):

@@ -142,6 +142,23 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def marked_links(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; (fp, first_id, rows) of the distinct fingerprints; (src, dst), the links of these."""
+    marked = cut(fingerprints(docs, width))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+    return marked, distinct, cut(links(distinct, distance))
+
+
+def document_links(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """(src, dst) doc_ids whose components are those of near_duplicates(); rows without doc_id give none."""
+    marked, distinct, found = marked_links(docs.filter(F.col("doc_id").isNotNull()), distance, width)
+    first = distinct.select("fp", "first_id")
+    one, other = (first.select(F.col("fp").alias(c), F.col("first_id").alias(f"{c}_id")) for c in ("src", "dst"))
+    between = found.join(one, "src").join(other, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    within = join_split(marked, distinct, ["fp"], "rows", marked.count()).filter("doc_id <> first_id")
+    return between.unionByName(within.select(F.col("first_id").alias("src"), F.col("doc_id").alias("dst")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text).
 
@@ -150,9 +167,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     stay and share their component (null if it has no doc_id at all). Repeated
     rows stay; an empty table gives an empty result; other columns play no part.
     """
-    marked = cut(fingerprints(docs, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    found = cut(links(distinct, distance))
+    marked, distinct, found = marked_links(docs, distance, width)
     labels = connected_components(found)
     of_fp = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     smallest = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
