@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, cut, fresh, in_slices, widened
+from .common import IS_SPACE, cut, fresh, in_slices, small_batches, widened
 from .lexicon import Lexicon, compile_lexicon
 
 #: Words of the lexicon at most, their longest length, distinct words that a task counts before it passes them on, and bytes worked on at once.
@@ -298,7 +298,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
@@ -339,4 +339,4 @@ def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS) ->
                 packed = pa.array([data[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, packed, pa.array(np.diff(bounds), pa.int64()), tok.decode_many(ids, bounds)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

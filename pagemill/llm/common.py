@@ -31,6 +31,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Arrow batches of texts are no larger than this. Spark's own limit, 64 MB, would be held by the JVM and the worker of each core at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's limit on the bytes of an Arrow batch lowered to BATCH_BYTES, if it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key, "64MB")).lower()
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) < 0 or int(now.removesuffix("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     checkpoint_dir(df.sparkSession)

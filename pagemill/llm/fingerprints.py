@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, in_slices, mix64, partitions, span_hashes
+from .common import IS_SPACE, LOWER, in_slices, mix64, partitions, small_batches, span_hashes
 
 K, SHINGLE = 128, 5
 SEED = np.uint64(0x5BF0_3635_D1F2_6A9B)
@@ -121,7 +121,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, width: int = SHINGLE) ->
                 out = [to_string(x) for x in sketches([(x.as_py() or "").encode() for x in b.column(1)], k, width)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
@@ -233,5 +233,5 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE) -> Data
                     yield work(ids, texts)
                     ids, texts = ids[-1:], texts[-1:]
 
-    dealt = docs.mapInArrow(deal, "part int, halo tinyint, doc_id long, text string")
+    dealt = small_batches(docs).mapInArrow(deal, "part int, halo tinyint, doc_id long, text string")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "halo", "doc_id", "text").mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fresh, in_slices, widened
+from .common import fresh, in_slices, small_batches, widened
 from .html_blocks import GROUPS, KNOWN, MAYBE, Block, Node, blocks
 from .html_training import MAIN, OTHER, labelled_pages
 
@@ -199,4 +199,4 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
                 texts = [main_text(shared.value, x.as_py()) for x in b.column(at)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
-    return pages.mapInArrow(run, schema)
+    return small_batches(pages).mapInArrow(run, schema)

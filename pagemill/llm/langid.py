@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_slices, widened
+from .common import fresh, in_slices, small_batches, widened
 
 UNKNOWN = "und"
 BINS = 1 << 16
@@ -241,7 +241,7 @@ def train(labelled: DataFrame, limit: int = TRAIN_DOCS) -> Model:
         add = lambda c: sum((np.frombuffer(x.as_py(), dtype=np.int64) for x in table[c]), np.int64(0)).tobytes()
         return pa.table({"lang": table["lang"][:1], "bins": pa.array([add("bins")], pa.binary()), "scripts": pa.array([add("scripts")], pa.binary()), "docs": pa.array([sum(table["docs"].to_pylist())], pa.int64())})
 
-    counted = labelled.select("text", "lang").mapInArrow(count, schema).groupBy("lang").applyInArrow(total, schema)
+    counted = small_batches(labelled.select("text", "lang")).mapInArrow(count, schema).groupBy("lang").applyInArrow(total, schema)
     rows = sorted(counted.collect(), key=lambda r: r["lang"])
     langs = [r["lang"] for r in rows]
     column = lambda c, n: np.stack([np.frombuffer(r[c], dtype=np.int64) for r in rows], axis=1).astype(float) if rows else np.zeros((n, 0))
@@ -273,4 +273,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, spans, known = shared.value.predict([x.as_py() or "" for x in b.column(at)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64()), pa.array(known, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

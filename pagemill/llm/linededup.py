@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, fresh, in_slices, join_split, partitions, widened
+from .common import checkpoint_dir, cut, fresh, in_slices, join_split, partitions, small_batches, widened
 from .cuckoo import CuckooFilter
 
 #: The shortest key in code points; the references that a task takes of a very common line or shard (so many, or twice the mean); the keys of a filter.
@@ -61,7 +61,7 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             raw = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(ids, pa.int64())], names=["h", "g", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, g long, doc_id long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "h long, g long, doc_id long")
 
 
 def shard_of(shards: int):
@@ -156,7 +156,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
                 arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(run, schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_split, partitions
+from .common import cut, join_split, partitions, small_batches
 from .components import connected_components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             out = np.array([simhash(x.as_py(), width) for x in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
