@@ -24,11 +24,11 @@ def recall(found: DataFrame, gold: DataFrame, questions: DataFrame, key: str) ->
 
 
 def false_accept(found: DataFrame, gold: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row (n, accepted, false_accept): questions without gold that got an answer."""
+    """One row (n, accepted, false_accept): questions without gold that got an answer; the share of no questions is NaN."""
     asked = questions.join(gold.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     met = asked.join(found.select("query_id").distinct().withColumn("any", F.lit(1)), "query_id", "left")
     out = met.agg(F.count("*").alias("n"), F.coalesce(F.sum("any"), F.lit(0)).cast("long").alias("accepted"))
-    return out.withColumn("false_accept", F.round(F.when(F.col("n") > 0, F.col("accepted") / F.col("n")).otherwise(0.0), 6))
+    return out.withColumn("false_accept", F.round(F.when(F.col("n") > 0, F.col("accepted") / F.col("n")).otherwise(float("nan")), 6))
 
 
 def ab_tokens(whole: DataFrame, slices: DataFrame) -> DataFrame:

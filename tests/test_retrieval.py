@@ -10,6 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import queries
 from pagemill.config import RetrievalConfig
 from pagemill.operators import evaluation, fusion, index, inspection, lexical, resolver, selection, semantic, session
 from pagemill.plans import search as P
@@ -356,6 +357,20 @@ def test_recall(spark):
     assert tuple(evaluation.false_accept(found, gold, questions).first()) == (1, 1, 1.0)
 
 
+def test_false_accept_equals_its_sql_where_every_item_has_gold(spark, tmp_path):
+    import duckdb
+
+    text = "the quick zebra walks over the frozen lake at dawn"
+    spark.createDataFrame([(1, f"so {text} again"), (2, "nothing of it")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = duckdb.connect()
+    made.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for items, n in (([(7, text)], 0), ([(7, text), (8, "a zebra that walks elsewhere")], 1)):
+        spark.createDataFrame(items, "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+        made.execute(f"CREATE OR REPLACE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+        got, want = tuple(queries.QUERIES["false_accept"](spark, str(tmp_path)).first()), made.execute(queries.SQL["false_accept"]).fetchone()
+        assert repr(got) == repr(want) and got[0] == n
+
+
 def test_tables(spark):
     pages = spark.createDataFrame([("d", 1, "x\n| a | b |\nc | d\n\ny|z")], "doc_id string, page long, text string")
     got = [(r["table_no"], r["row_no"], r["cells"]) for r in inspection.table_rows(pages).orderBy("table_no", "row_no").collect()]
