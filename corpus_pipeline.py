@@ -42,10 +42,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays (all its rows, where rows repeat it); rows without doc_id stay.
 
-    Near-duplicates are those of op4's SimHash and texts that share 0.8 or more of their five-word shingles.
+    Near-duplicates are those of op4's SimHash and texts that share 0.8 or more of their five-word shingles, all
+    of them: what chains of min-hashes leave apart is joined exactly.
     """
     numbered = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = connected_components(cut(simhash.document_links(numbered).unionByName(resemblance.links(numbered))))
+    labels = cut(connected_components(cut(simhash.document_links(numbered).unionByName(resemblance.links(numbered)))))
+    more = cut(resemblance.remaining(numbered, labels))
+    if more.limit(1).count():
+        labels = connected_components(cut(more.unionByName(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")))))
     (gone,) = fresh(docs.columns, "_gone")
     losers = cut(labels.filter(F.col("node") != F.col("label")).select(F.col("node").alias(gone)))
     return docs.join(if_small(losers), F.col("doc_id") == F.col(gone), "left_anti")

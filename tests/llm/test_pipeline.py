@@ -152,3 +152,40 @@ def test_resemblance_links_equal_an_exact_comparison_and_copies_meet_once(spark,
         assert [labels.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     rows = resemblance.candidates(docs).filter("sure").count()
     assert rows < 2 * len(texts)
+
+
+def test_near_dedup_finds_each_near_copy_of_a_text_that_many_resemble(spark):
+    r = np.random.default_rng(21)
+    base = [f"w{x}" for x in r.integers(0, 100_000, 300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 241):
+        near = list(base)
+        for at in range(25 + i % 13, 300, 50):  # six words apart: 0.816 of the shingles of the text, 0.66 or so of those of another copy
+            near[at + int(r.integers(12))] = f"n{i}x{at}"
+        rows.append((i, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0}
+
+
+def test_remaining_links_are_all_links_between_labels(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    texts = []
+    for size in (6, 9, 14, 40, 80, 200):
+        base = [f"w{x}" for x in r.integers(0, 400, size)]
+        for _ in range(25):
+            near = list(base)
+            for at in r.integers(0, size, int(r.integers(0, 2 + size // 50))):
+                near[at] = f"w{r.integers(0, 400)}"
+            texts.append(" ".join(near[: size - int(r.integers(0, 2 + size // 20))]))
+    texts = sorted(set(texts))
+    sets = [set(x.tolist()) for x in resemblance.shingle_sets(texts)]
+    label = [i % 3 if i % 4 else i for i in range(len(sets))]
+    want = {(j, i) for i, a in enumerate(sets) for j in range(i) if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) and a != sets[j]}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, x) for i, x in enumerate(label) if i != x], "node long, label long")
+    for many in (1 << 20, 50):
+        monkeypatch.setattr(resemblance, "MANY", many)
+        got = {(x["src"], x["dst"]) for x in resemblance.remaining(docs, labels).collect()}
+        assert {(a, b) for a, b in got if sets[a] != sets[b]} == want and len(want) > 100
+    none = resemblance.remaining(docs.filter("false"), labels.filter("false"))
+    assert none.count() == 0
