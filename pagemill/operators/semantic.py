@@ -7,16 +7,18 @@ model made once per worker; None means keyword scores only.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 
 class Provider(Protocol):
     name: str
@@ -57,24 +59,54 @@ class EncoderProvider:
         return df.withColumn("vec", encode("text"))
 
 
+class Places(dict):
+    """The place of each token among `dim`, by its hash; those of the last tokens, a bounded number, are kept."""
+
+    KEPT = 200_000
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        self[token] = place = int(hashlib.md5(token, usedforsecurity=False).hexdigest()[:6], 16) % self.dim
+        return place
+
+
 class HashingProvider:
-    """Vectors without a model: tokens counted in `dim` places by a hash, of length 1. All of it are column functions.
+    """Vectors without a model: tokens counted in `dim` places by a hash, of length 1. Texts are lowered by Spark, as for keyword scores.
 
     Texts are near if they share words, whatever their order; for tests, and where no encoder is at hand.
     """
 
+    #: Rows whose counts are made at once.
+    ROWS = 1024
+
     def __init__(self, dim: int = 64) -> None:
         self.dim, self.name = dim, f"hashing-{dim}"
 
     def vectors(self, df: DataFrame) -> DataFrame:
-        place = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % self.dim
-        places = F.transform(T.raw_tokens(F.coalesce("text", F.lit(""))), place)
-        zero = F.array(*[F.lit(0)] * self.dim)
-        counts = F.map_from_entries(F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("k"), F.size(F.filter("_p", lambda q: q == p)).alias("v"))))
-        out = df.withColumn("_p", places).withColumn("_c", counts)
-        length = F.sqrt(F.aggregate(F.map_values("_c"), F.lit(0.0), lambda s, n: s + n * n))
-        vec = F.transform(zero, lambda x, i: F.coalesce(F.try_element_at("_c", i), x) / F.greatest(length, F.lit(1.0)))
-        return out.withColumn("vec", vec.cast("array<float>")).drop("_p", "_c")
+        dim, rows = self.dim, self.ROWS
+
+        @F.arrow_udf("array<float>")
+        def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            place, find = Places(dim), re.compile(rb"[a-z0-9]+").findall
+            for batch in texts:
+                out = []
+                for i in range(0, len(batch), rows):
+                    part = batch.slice(i, rows).cast(pa.binary()).to_pylist()
+                    every = [find(x) for x in part]
+                    sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+                    at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(every)), dtype=np.int64, count=int(sizes.sum()))
+                    counts = np.bincount(np.repeat(np.arange(len(part)) * dim, sizes) + at, minlength=len(part) * dim).reshape(len(part), dim)
+                    length = np.maximum(np.sqrt((counts * counts).sum(axis=1, dtype=np.int64).astype(np.float64)), 1.0)
+                    out.append((counts / length[:, None]).astype(np.float32))
+                flat = np.concatenate(out) if out else np.zeros((0, dim), dtype=np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dim), pa.array(flat.reshape(-1)))
+
+        return df.withColumn("vec", encode(F.lower(F.coalesce("text", F.lit("")))))
 
 
 class Sticky:

@@ -307,6 +307,27 @@ def test_index_builds_append_and_compact(spark, tmp_path):
     assert made.build(files, pages, now=6.0) == 3
 
 
+def test_hashing_counts_tokens_in_one_pass(spark, monkeypatch):
+    import hashlib
+
+    r = random.Random(5)
+    long = " ".join(f"Word{r.randrange(100_000)}" for _ in range(200_000))
+    texts = [long, "", None, "\u00c9t\u00e9 A-b a", "?!", *(" ".join(r.choices(WORDS, k=30)) for _ in range(40))]
+    monkeypatch.setattr(semantic.HashingProvider, "ROWS", 7)
+    monkeypatch.setattr(semantic.Places, "KEPT", 1000)
+    for dim in (64, 4096):
+        begun = time.monotonic()
+        got = {x["i"]: x["vec"] for x in semantic.HashingProvider(dim).vectors(spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)).collect()}
+        assert time.monotonic() - begun < 20  # a pass for each place took minutes
+        for i, text in enumerate(texts):
+            counts = [0] * dim
+            for w in re.findall("[a-z0-9]+", (text or "").lower()):
+                counts[int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dim] += 1
+            length = max(math.sqrt(sum(n * n for n in counts)), 1.0)
+            assert all(abs(x - n / length) <= 1e-6 for x, n in zip(got[i], counts, strict=True))
+    assert semantic.HashingProvider().vectors(spark.createDataFrame([], "text string")).collect() == []
+
+
 def test_session_with_vectors_and_an_index(spark, tmp_path):
     filler = " ".join(f"The {w} of the archive is listed here with its number and its date." for w in ("map", "letter", "seal", "ledger", "survey", "deed", "drawing"))
     text = f"{filler} Zebras may be kept on the premises only with written consent. {filler}"
