@@ -545,7 +545,7 @@ def _encoded(t):
 
 @query(f"SELECT doc_id, passage_id, round(list_sum(vec)::DOUBLE, 4) AS total, round(vec[1]::DOUBLE, 6) AS first FROM v_p")
 def passage_vectors(t):
-    return _encoded(t).select("doc_id", "passage_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+    return ENCODER.vectors(t.passages).select("doc_id", "passage_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
 
 
 @query("SELECT query_id, doc_id, passage_id, sem FROM v_dense")
